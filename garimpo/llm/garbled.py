@@ -156,7 +156,7 @@ def _one_byte(text: str):
     return best
 
 
-LONE_WORDS = set("àéÀÉ")
+LONE_WORDS = {"à", "às", "é", "À", "É"}
 
 
 def _undo_pair(text: str, m: dict[str, str]) -> str:

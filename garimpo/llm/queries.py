@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from garimpo.llm import garbled
+from garimpo.llm import conversations, garbled, splitting, tokens
 from garimpo.session import table
 
 
@@ -20,4 +20,39 @@ def p1_restored(spark, sf_dir):
     return blocks.unionByName(chunks).distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored}
+def _both(spark, sf_dir, make):
+    """make over the texts of legal_nodes and legal_chunks, with the table's name as src."""
+    from pyspark.sql import functions as F
+
+    nodes = make(table(spark, sf_dir, "legal_nodes"), "node_key").withColumn("src", F.lit("legal_nodes"))
+    chunks = make(table(spark, sf_dir, "legal_chunks"), "chunk_key").withColumn("src", F.lit("legal_chunks"))
+    both = nodes.unionByName(chunks)
+    return both.select("src", *[c for c in both.columns if c != "src"])
+
+
+def p6_found(spark, sf_dir):
+    """(src, row_key, cut_class) of each text over the limit."""
+    return _both(spark, sf_dir, splitting.cut_classes)
+
+
+def p6_pieces(spark, sf_dir):
+    """All pieces of the texts of both tables."""
+    return _both(spark, sf_dir, splitting.pieces)
+
+
+def p7_found(spark, sf_dir):
+    """(conversation_id, defect) of each dropped conversation."""
+    return conversations.defects(table(spark, sf_dir, "messages"))
+
+
+def p7_conversations(spark, sf_dir):
+    """The good conversations, turn by turn."""
+    return conversations.rebuild(table(spark, sf_dir, "messages"))
+
+
+def p8_ids(spark, sf_dir):
+    """Token ids of each document."""
+    return tokens.encode(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p6_found, p6_pieces, p7_found, p7_conversations, p8_ids)}
