@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from garimpo.queries import data
+
 
 def core_queries() -> dict:
-    return {}
+    return {**data.QUERIES}
 
 
 def core_sql() -> dict:
-    return {}
+    return {**data.SQL}
