@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from garimpo.operators import units
+from garimpo.operators import schema_drift, units
 from garimpo.session import table
 
 
@@ -11,5 +11,20 @@ def p3_found(spark, sf_dir):
     return units.to_minutes(table(spark, sf_dir, "deadlines"))
 
 
-QUERIES = {"p3_found": p3_found}
+def p5_found(spark, sf_dir):
+    """(extraction_id, change_kind, old_name, new_name) of every change within a series."""
+    return schema_drift.found_changes(table(spark, sf_dir, "table_extractions"))
+
+
+def p5_versions(spark, sf_dir):
+    """Fingerprint and version of each file."""
+    return schema_drift.versions(table(spark, sf_dir, "table_extractions"))
+
+
+def p5_records(spark, sf_dir):
+    """The records of all files under canonical names."""
+    return schema_drift.unified(table(spark, sf_dir, "table_extractions"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p5_found, p5_versions, p5_records)}
 SQL: dict[str, str] = {}
