@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from garimpo.llm import conversations, garbled, splitting, tokens
+from garimpo.llm import conversations, garbled, neighbours, splitting, tokens
 from garimpo.session import table
 
 
@@ -55,4 +55,9 @@ def p8_ids(spark, sf_dir):
     return tokens.encode(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p6_found, p6_pieces, p7_found, p7_conversations, p8_ids)}
+def p2_found(spark, sf_dir):
+    """Pairs of vectors of which at least one is among the 5 nearest of the other."""
+    return neighbours.pairs(table(spark, sf_dir, "vector_items"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p6_found, p6_pieces, p7_found, p7_conversations, p8_ids)}
