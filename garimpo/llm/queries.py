@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from garimpo.llm import conversations, garbled, neighbours, splitting, tokens
+from garimpo.llm import conversations, garbled, mixing, neighbours, splitting, subjects, tokens
 from garimpo.session import table
 
 
@@ -60,4 +60,24 @@ def p2_found(spark, sf_dir):
     return neighbours.pairs(table(spark, sf_dir, "vector_items"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p6_found, p6_pieces, p7_found, p7_conversations, p8_ids)}
+def p9_mix(spark, sf_dir):
+    """Every use of a document in the mix, with its shard and its place there."""
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))
+
+
+def p9_shares(spark, sf_dir):
+    """Target and actual share of each source."""
+    return mixing.shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))
+
+
+def p10_found(spark, sf_dir):
+    """(doc_id, subject) of documents of which at least a fifth of the sentences deal with the subject."""
+    return subjects.subjects_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_examples"))
+
+
+def p10_composition(spark, sf_dir):
+    """Documents and sentences of each subject."""
+    return subjects.composition(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_examples"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p6_found, p6_pieces, p7_found, p7_conversations, p8_ids, p9_mix, p9_shares, p10_found, p10_composition)}
