@@ -94,7 +94,8 @@ def machine():
     return a
 
 
-PIECE = regex.compile(r"[\p{L}\p{M}\p{S}\x80-\x9f‚„†‡ˆ‰‹›·¡¿«»…”’“‘–—§¶ªº¬\u00a0¼½¾¹²³]+")
+# A ¬ at the end of a line is a hyphen sign of scanned pages, whatever surrounds it.
+PIECE = regex.compile(r"(?:¬(?![ \t]*(?:\n|$))|[\p{L}\p{M}[\p{S}--¬]\x80-\x9f‚„†‡ˆ‰‹›·¡¿«»…”’“‘–—§¶ªº\u00a0¼½¾¹²³])+", regex.V1)
 MARKS = regex.compile(r"[\u0300-\u036f]")
 BOX = regex.compile(r"[\u2500-\u259f]")
 LOWER_OF_PT = set(PT_LOW) | set("abcdefghijklmnopqrstuvwxyz")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from garimpo.llm import conversations, garbled, mixing, neighbours, splitting, subjects, tokens
+from garimpo.llm import conversations, garbled, mixing, neighbours, scan_noise, splitting, subjects, tokens
 from garimpo.session import table
 
 
@@ -80,4 +80,14 @@ def p10_composition(spark, sf_dir):
     return subjects.composition(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_examples"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p6_found, p6_pieces, p7_found, p7_conversations, p8_ids, p9_mix, p9_shares, p10_found, p10_composition)}
+def p4_found(spark, sf_dir):
+    """(src, row_key, noise_kind) of the noise of scanned pages."""
+    return scan_noise.Noise(table(spark, sf_dir, "pdf_blocks"), table(spark, sf_dir, "pipeline_results")).found()
+
+
+def p4_repaired(spark, sf_dir):
+    """The texts of both tables, repaired into continuous paragraphs."""
+    return scan_noise.Noise(table(spark, sf_dir, "pdf_blocks"), table(spark, sf_dir, "pipeline_results")).repaired()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p4_found, p4_repaired, p6_found, p6_pieces, p7_found, p7_conversations, p8_ids, p9_mix, p9_shares, p10_found, p10_composition)}
