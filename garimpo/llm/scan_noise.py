@@ -101,7 +101,9 @@ def edge_lines(blocks: DataFrame) -> DataFrame:
         lambda x: x["line"].isNotNull(),
     )
     lines = ranked.select("block_key", "doc", "page", "y", "title", "single", F.explode(each).alias("e")).select("block_key", "doc", "page", "y", "title", "single", "e.*").distinct()
-    return lines.withColumn("key", skeleton(F.col("line"))).withColumn("number", page_value(F.col("line")))
+    lines = lines.withColumn("key", skeleton(F.col("line"))).withColumn("number", page_value(F.col("line")))
+    # The last line of a paragraph goes on in lower case; that is running text.
+    return lines.filter(F.col("single") | (F.col("side") != "foot") | F.col("number").isNotNull() | ~F.col("line").rlike(r"^\p{Ll}"))
 
 
 def in_margin() -> Column:
