@@ -75,13 +75,13 @@ def page_value(line: Column) -> Column:
 
 def edge_lines(blocks: DataFrame) -> DataFrame:
     """Lines that can be running lines or page numbers: block_key, doc, page, side, line, key, number, single, inside, y, title."""
-    text = F.trim(F.regexp_replace("text", r"[ \t\r]+(?=\n)|\s+$", ""))
+    text = F.trim(F.col("text"), F.lit(" \t\r\n"))
     rows = blocks.select(
         "block_key", F.col("pdf_doc_id").alias("doc"), F.col("page_number").alias("page"), F.col("block_seq").alias("seq"),
         F.get("bbox", F.lit(1)).alias("y"), (F.col("block_type") == "title").alias("title"), text.alias("t"),
     ).filter(F.col("t").rlike(r"[\p{L}\p{N}]") & F.col("doc").isNotNull() & F.col("page").isNotNull())
     first, last = F.substring_index("t", "\n", 1), F.substring_index("t", "\n", -1)
-    short = lambda c: F.when(F.length(c) <= 120, F.trim(c))
+    short = lambda c: F.when(F.length(c) <= 120, F.trim(c, F.lit(" \t\r")))
     # Rows of a table have as many bars as the line beside them.
     bars = lambda c: F.size(F.split(c, r"\|"))
     second, second_last = F.element_at(F.split(F.substring_index("t", "\n", 2), "\n"), -1), F.get(F.split(F.substring_index("t", "\n", -2), "\n"), F.lit(0))
@@ -170,9 +170,9 @@ def page_numbers(lines: DataFrame, offsets: DataFrame) -> DataFrame:
 
 SHAPES = str.maketrans({"m": "rri", "n": "ri", "d": "ci", "u": "ii", "e": "c", "l": "i", "1": "i", "|": "i", "f": "t", "@": "a", "0": "o", "5": "s", "9": "g", "6": "b", "8": "b", "2": "z"})
 _TOKEN = re.compile(r"[\w@|]{%d,}" % LEAST_WORD)
-_JOIN = re.compile(r"(?<=[^\W\d_])[%s][ \t]*\n\s*(?=[^\W\d_])" % HYPHENS)
-_TAIL = re.compile(r"[%s]\s*$" % HYPHENS)
-_ODD = re.compile(r"[^\x00-\x7fáàâãéêíóôõúçÁÀÂÃÉÊÍÓÔÕÚÇºª°–—]")
+_JOIN = re.compile(r"[%s](?<=[^\W\d_].)[ \t]*\n\s*(?=[^\W\d_])" % HYPHENS)
+_HEAD = re.compile(r" [–|·] |\d/\d{4}")
+_ODD = re.compile(r"[^\x00-\x7fáàâãéêíóôõúçÁÀÂÃÉÊÍÓÔÕÚÇºª°–—¬­‐‑]")
 
 
 def clean_form(text: str) -> str:
@@ -183,28 +183,38 @@ def clean_form(text: str) -> str:
     return unicodedata.normalize("NFC", examine(text)[1]) if _ODD.search(text) else text
 
 
-def _parts(text: str | None) -> Iterator[list[str]]:
-    """Words by paragraph, without what may be half of a word cut between blocks."""
-    if not text:
-        return
-    for part in clean_form(text).split("\n\n"):
-        part = part.strip()
-        if not part:
-            continue
-        cut = bool(_TAIL.search(part))
-        joined = _JOIN.sub("", part)
-        found = _TOKEN.findall(joined.lower())
-        if found and joined[0].islower() and joined.lower().startswith(found[0]):
-            found = found[1:]
+def _found(part: str) -> list[str]:
+    """Words of one paragraph, without what may be half of a word cut between blocks."""
+    part = part.strip()
+    joined = _JOIN.sub("", part) if "\n" in part else part
+    low = joined.lower()
+    found = _TOKEN.findall(low)
+    if not found:
+        return found
+    if joined[0].islower() and low.startswith(found[0]):
+        found = found[1:]
+    if "\n" in joined:
         lines = joined.split("\n", 2)
-        if len(lines) > 1 and lines[1][:1].islower() and (lines[0].isupper() or re.search(r" [–|·] |\d/\d{4}", lines[0])):
+        if lines[1][:1].islower() and (lines[0].isupper() or _HEAD.search(lines[0])):
             # A heading on top of the block: the line after it may begin with half a word.
             head = _TOKEN.match(lines[1].lower())
             if head and head.group() in found:
                 found.remove(head.group())
-        if cut and found and joined.rstrip(HYPHENS + " \t\n").lower().endswith(found[-1]):
-            found = found[:-1]
-        yield found
+    if found and joined[-1] in HYPHENS and low.rstrip(HYPHENS + " \t\n").endswith(found[-1]):
+        found = found[:-1]
+    return found
+
+
+def _parts(text: str | None, mend: bool = True) -> Iterator[list[str]]:
+    """Words by paragraph. mend: undo wrong decodings first."""
+    if not text:
+        return
+    if mend:
+        text = clean_form(text)
+    elif not text.isascii():
+        text = unicodedata.normalize("NFC", text)
+    for part in text.split("\n\n") if "\n\n" in text else (text,):
+        yield _found(part)
 
 
 def word_counts(texts: DataFrame, text: str) -> DataFrame:
@@ -220,7 +230,8 @@ def word_counts(texts: DataFrame, text: str) -> DataFrame:
 
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                for found in _parts(t):
+                # Garbled words only add rare forms here; they are mended where rows are judged.
+                for found in _parts(t, mend=False):
                     c.update(found)
             if len(c) > 300_000:
                 yield flush()
@@ -240,18 +251,25 @@ def shape_key(word: Column) -> Column:
     return key
 
 
-def misread_words(counts: DataFrame) -> DataFrame:
-    """word, right: the misread forms of the corpus."""
-    plain = F.col("word").rlike(r"^\p{L}+$")
-    keyed = counts.withColumn("key", shape_key(F.col("word"))).withColumn("plain", plain)
-    best = keyed.filter("plain").groupBy("key").agg(F.max(F.struct("n", "word")).alias("b")).select("key", F.col("b.n").alias("m"), F.col("b.word").alias("right"))
-    pairs = keyed.join(best, "key").filter(F.col("word") != F.col("right"))
-    sure = F.when(F.col("plain"), F.col("m") >= PLAIN_TIMES * F.col("n")).otherwise(F.col("m") >= MARKED_TIMES * F.col("n"))
-    return pairs.filter(sure & (F.length("right") >= LEAST_WORD) & F.col("word").rlike(r"\p{L}.*\p{L}")).select("word", "right")
+def right_words(counts: DataFrame) -> DataFrame:
+    """key, right, m: the most frequent plain word of each shape."""
+    plain = counts.filter((F.length("word") >= LEAST_WORD) & F.col("word").rlike(r"^\p{L}+$"))
+    best = plain.groupBy(shape_key(F.col("word")).alias("key")).agg(F.max(F.struct("n", "word")).alias("b"))
+    return best.select("key", F.col("b.word").alias("right"), F.col("b.n").alias("m"))
+
+
+def judged_words(words: DataFrame, right: DataFrame) -> DataFrame:
+    """The rows of words (word, n and more) that are misread forms, with the right word."""
+    pairs = words.withColumn("key", shape_key(F.col("word"))).join(right, "key").filter(F.col("word") != F.col("right"))
+    times = F.when(F.col("word").rlike(r"^\p{L}+$"), PLAIN_TIMES).otherwise(MARKED_TIMES)
+    return pairs.filter((F.col("m") >= times * F.col("n")) & F.col("word").rlike(r"\p{L}.*\p{L}")).drop("key", "m", "n")
+
 
+def misread_rows(texts: DataFrame, counts: DataFrame, right: DataFrame, known: list[str]) -> DataFrame:
+    """src, row_key, word, right of each misread word of a text (columns src, row_key, t).
 
-def misread_rows(texts: DataFrame, misread: DataFrame, known: list[str]) -> DataFrame:
-    """src, row_key, word, right of each misread word of a text (columns src, row_key, t)."""
+    A word that only occurs in wrongly decoded texts has no count of its own and counts as one.
+    """
     held = texts.sparkSession.sparkContext.broadcast(frozenset(known))
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,17 +287,18 @@ def misread_rows(texts: DataFrame, misread: DataFrame, known: list[str]) -> Data
                         out[2].append(w)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], names=["src", "row_key", "word"])
 
-    return texts.mapInArrow(rare, "src string, row_key long, word string").join(misread, "word")
+    left = texts.mapInArrow(rare, "src string, row_key long, word string").join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    return judged_words(left, right)
 
 
 # ---------------------------------------------------------------- all kinds
 
-BEFORE = r"[a-zA-Z@|¡- ―-‗†-‥‧-￿&&[^¬­]]"
-AFTER = r"[a-zA-Z¡- †-‥‧-￿&&[^¬­]]"
+BEFORE = r"[a-zA-Z@|\u00a1-\u00ab\u00ae-\u2009\u2020-\u2025\u2027-\uffff]"
+AFTER = r"[a-zA-Z\u00a1-\u00ab\u00ae-\u2009\u2020-\u2025\u2027-\uffff]"
 
 
 def hyphenated(text: Column) -> Column:
-    return text.rlike(f"{BEFORE}[{HYPHENS}][ \\t\\r]*(?:\\n\\s*{AFTER}|\\s*$)")
+    return text.rlike(f"[{HYPHENS}](?<={BEFORE}.)[ \\t\\r]*(?:\\n\\s*{AFTER}|\\s*$)")
 
 
 class Noise:
@@ -292,42 +311,48 @@ class Noise:
         self.pages = self.lines.select("doc", "page").distinct().groupBy("doc").agg(F.count("*").alias("pages"))
         self.own = settle(running_keys(self.lines, self.pages))
         self.offsets = settle(page_offsets(self.lines, self.pages))
-        self.running = running_lines(self.lines, self.own)
-        self.numbers = page_numbers(self.lines, self.offsets)
-        counts = settle(word_counts(self.blocks, "text"))
-        self.misread = settle(misread_words(counts))
-        frequent = counts.join(self.misread, "word", "left_anti").orderBy(F.desc("n"), "word").limit(known_words)
+        self.running = settle(running_lines(self.lines, self.own))
+        self.numbers = settle(page_numbers(self.lines, self.offsets))
+        self.counts = settle(word_counts(self.blocks, "text"))
+        self.right = settle(right_words(self.counts))
+        wrong = judged_words(self.counts, self.right).select("word")
+        frequent = self.counts.join(wrong, "word", "left_anti").orderBy(F.desc("n"), "word").limit(known_words)
         self.known = [r[0] for r in frequent.select("word").collect()]
         self.texts = self.blocks.select(F.lit("pdf_blocks").alias("src"), F.col("block_key").cast("long").alias("row_key"), F.col("text").alias("t")).unionByName(
             self.results.select(F.lit("pipeline_results").alias("src"), F.col("result_id").cast("long").alias("row_key"), F.col("clean_text").alias("t"))
         ).filter(F.col("t").rlike(r"\S"))
 
     def result_lines(self) -> DataFrame:
-        """row_key, doc, pos, line, kind of the running lines and page numbers left in joined texts."""
-        rows = self.results.select(F.col("result_id").cast("long").alias("row_key"), F.col("pdf_doc_id").alias("doc"), F.col("page_from").alias("a"), F.col("page_to").alias("b"), F.posexplode(F.split("clean_text", "\n")).alias("pos", "raw"))
-        short = rows.filter(F.length("raw") <= 130).withColumn("line", F.trim("raw")).filter(F.col("line").rlike(r"[\p{L}\p{N}]"))
-        lines = short.withColumn("key", skeleton(F.col("line"))).withColumn("number", page_value(F.col("line")))
+        """row_key, pos, line, kind of the running lines and page numbers left in joined texts.
+
+        What a document's blocks showed (a few keys and offsets) is joined to its joined texts before they
+        are cut into lines, so that only lines of a fitting length are looked at.
+        """
+        refs = self.running.select("doc", skeleton(F.col("line")).alias("ref"), F.length("line").alias("n")).groupBy("doc").agg(F.collect_set("ref").alias("refs"), (F.min("n") * 0.5).alias("lo"), (F.max("n") * 1.6).alias("hi"))
+        own = self.own.groupBy("doc").agg(F.collect_set("key").alias("own"))
+        offsets = self.offsets.groupBy("doc").agg(F.collect_set("offset").alias("offsets"))
+        rows = self.results.filter(F.length("clean_text") > 0).select(F.col("result_id").cast("long").alias("row_key"), F.col("pdf_doc_id").alias("doc"), F.col("page_from").alias("a"), F.col("page_to").alias("b"), "clean_text").dropDuplicates(["row_key"])
+        rows = rows.join(refs, "doc", "left").join(own, "doc", "left").join(offsets, "doc", "left")
+        cut = F.transform(F.split("clean_text", "\n"), lambda x, i: F.struct(i.alias("pos"), F.trim(x, F.lit(" \t\r")).alias("line")))
+        fitting = F.filter(cut, lambda x: (F.length(x["line"]) <= 24) | F.coalesce((F.length(x["line"]) >= F.col("lo")) & (F.length(x["line"]) <= F.col("hi")), F.lit(False)))
+        lines = rows.select("row_key", "a", "b", "refs", "own", "offsets", F.explode(fitting).alias("x")).select("row_key", "a", "b", "refs", "own", "offsets", "x.*").filter("line <> ''")
+        lines = lines.withColumn("number", F.when(F.length("line") <= 24, page_value(F.col("line")))).withColumn("key", F.when(F.col("number").isNull() & F.col("refs").isNotNull(), skeleton(F.col("line"))))
+        n = F.length("key")
+        near = F.exists("own", lambda r: (n >= 0.75 * F.length(r)) & (n <= 1.35 * F.length(r)) & (F.levenshtein(F.col("key"), r) <= F.greatest(F.floor(F.length(r) * 0.2), F.lit(2))))
         # Title of the first page: among the first lines of the text that begins with page 1.
-        body = lines.filter(F.col("number").isNull() & (F.length("key") >= 5) & ~((F.coalesce("a", F.lit(1)) == 1) & (F.col("pos") <= 3)))
-        refs = self.running.select("doc", skeleton(F.col("line")).alias("ref")).distinct()
-        exact = body.join(refs.withColumnRenamed("ref", "key"), ["doc", "key"], "left_semi")
-        own = self.own.withColumnRenamed("key", "ref")
-        n, m = F.length("key"), F.length("ref")
-        near = body.join(own, "doc").filter((n >= 0.75 * m) & (n <= 1.35 * m) & (F.levenshtein("key", "ref", 12) >= 0) & (F.levenshtein("key", "ref", 12) <= F.greatest(F.floor(m * 0.2), F.lit(2))))
-        agreed = lines.filter(F.col("number").isNotNull()).join(self.offsets, "doc", "left")
-        fits = F.when(F.col("offset").isNotNull(), (F.col("number") - F.col("offset") >= F.col("a")) & (F.col("number") - F.col("offset") <= F.col("b"))).otherwise(F.lower("line").rlike(DRESS))
-        cols = ["row_key", "doc", "pos", "line"]
-        return (
-            exact.unionByName(near.select(exact.columns)).select(*cols, F.lit("running_line").alias("kind"))
-            .unionByName(agreed.filter(fits).select(*cols, F.lit("page_number").alias("kind"))).distinct()
-        )
+        title = (F.coalesce("a", F.lit(1)) == 1) & (F.col("pos") <= 3)
+        running = (n >= 5) & ~title & (F.array_contains("refs", F.col("key")) | F.coalesce(near, F.lit(False)))
+        real = F.transform("offsets", lambda o: F.col("number") - o)
+        page = F.when(F.col("offsets").isNotNull(), F.exists(real, lambda p: (p >= F.col("a")) & (p <= F.col("b")))).otherwise(F.lower("line").rlike(DRESS))
+        kind = F.when(F.col("number").isNotNull() & page, "page_number").when(F.col("number").isNull() & running, "running_line")
+        return lines.select("row_key", "pos", "line", kind.alias("kind")).filter("kind is not null")
 
     def found(self) -> DataFrame:
         """src, row_key, noise_kind."""
         blocks = lambda df, kind: df.select(F.lit("pdf_blocks").alias("src"), F.col("block_key").cast("long").alias("row_key"), F.lit(kind).alias("noise_kind"))
         kinds = [
             self.texts.filter(hyphenated(F.col("t"))).select("src", "row_key", F.lit("hyphen").alias("noise_kind")),
-            misread_rows(self.texts, self.misread, self.known).select("src", "row_key", F.lit("misread").alias("noise_kind")),
+            misread_rows(self.texts, self.counts, self.right, self.known).select("src", "row_key", F.lit("misread").alias("noise_kind")),
             blocks(self.running, "running_line"), blocks(self.numbers, "page_number"),
             self.result_lines().select(F.lit("pipeline_results").alias("src"), "row_key", F.col("kind").alias("noise_kind")),
         ]
@@ -340,7 +365,7 @@ class Noise:
         """src, row_key, text, repaired: noise lines taken out, words mended, lines joined to paragraphs."""
         drop = self.running.unionByName(self.numbers).groupBy("block_key").agg(F.collect_set("line").alias("drop")).select(F.lit("pdf_blocks").alias("src"), F.col("block_key").cast("long").alias("row_key"), "drop")
         drop = drop.unionByName(self.result_lines().groupBy("row_key").agg(F.collect_set("line").alias("drop")).select(F.lit("pipeline_results").alias("src"), "row_key", "drop"))
-        mend = misread_rows(self.texts, self.misread, self.known).groupBy("src", "row_key").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("word", "right")))).alias("mend"))
+        mend = misread_rows(self.texts, self.counts, self.right, self.known).groupBy("src", "row_key").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("word", "right")))).alias("mend"))
         rows = self.texts.dropDuplicates(["src", "row_key"]).join(drop, ["src", "row_key"], "left").join(mend, ["src", "row_key"], "left")
         held = self.blocks.sparkSession.sparkContext.broadcast(frozenset(self.known))
 
