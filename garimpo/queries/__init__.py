@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from garimpo.queries import data
+from garimpo.queries import data, search, tabular, texts
+
+MODULES = [tabular.R, texts.R, search.R]
 
 
 def core_queries() -> dict:
-    return {**data.QUERIES}
+    found = dict(data.QUERIES)
+    for r in MODULES:
+        found |= r.queries
+    return found
 
 
 def core_sql() -> dict:
-    return {**data.SQL}
+    found = dict(data.SQL)
+    for r in MODULES:
+        found |= r.sql
+    return found
