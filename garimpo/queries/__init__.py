@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from garimpo.queries import data, search, tabular, texts
+from garimpo.queries import data, search, state, tabular, texts
 
-MODULES = [tabular.R, texts.R, search.R]
+MODULES = [tabular.R, texts.R, search.R, state.R]
 
 
 def core_queries() -> dict:
