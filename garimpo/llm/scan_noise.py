@@ -106,6 +106,11 @@ def edge_lines(blocks: DataFrame) -> DataFrame:
     return lines.filter(F.col("single") | (F.col("side") != "foot") | F.col("number").isNotNull() | ~F.col("line").rlike(r"^\p{Ll}"))
 
 
+def plain_line(line: Column) -> Column:
+    """A line without digits and blanks, by a plain character map."""
+    return F.translate(line, "0123456789 \t", "")
+
+
 def in_margin() -> Column:
     return F.coalesce(F.col("single") & ((F.col("y") <= TOP_Y) | (F.col("y") >= FOOT_Y)), F.lit(False))
 
@@ -209,11 +214,12 @@ def _parts(text: str | None, mend: bool = True) -> Iterator[list[str]]:
     """Words by paragraph. mend: undo wrong decodings first."""
     if not text:
         return
-    if mend:
-        text = clean_form(text)
-    elif not text.isascii():
-        text = unicodedata.normalize("NFC", text)
+    # Paragraph by paragraph: a whole document nearly always has some odd character somewhere.
     for part in text.split("\n\n") if "\n\n" in text else (text,):
+        if mend:
+            part = clean_form(part)
+        elif not part.isascii():
+            part = unicodedata.normalize("NFC", part)
         yield _found(part)
 
 
@@ -325,23 +331,21 @@ class Noise:
     def result_lines(self) -> DataFrame:
         """row_key, pos, line, kind of the running lines and page numbers left in joined texts.
 
-        What a document's blocks showed (a few keys and offsets) is joined to its joined texts before they
-        are cut into lines, so that only lines of a fitting length are looked at.
+        Joined texts hold the lines of the blocks, so lines are compared with those found there, but for
+        digits and blanks. What a document's blocks showed (a few lines and offsets) is joined to its texts
+        before they are cut, so that only lines of a fitting length are looked at.
         """
-        refs = self.running.select("doc", skeleton(F.col("line")).alias("ref"), F.length("line").alias("n")).groupBy("doc").agg(F.collect_set("ref").alias("refs"), (F.min("n") * 0.5).alias("lo"), (F.max("n") * 1.6).alias("hi"))
-        own = self.own.groupBy("doc").agg(F.collect_set("key").alias("own"))
+        refs = self.running.select("doc", plain_line(F.col("line")).alias("ref"), F.length("line").alias("n")).groupBy("doc").agg(F.collect_set("ref").alias("refs"), (F.min("n") * 0.5).alias("lo"), (F.max("n") * 1.6).alias("hi"))
         offsets = self.offsets.groupBy("doc").agg(F.collect_set("offset").alias("offsets"))
         rows = self.results.filter(F.length("clean_text") > 0).select(F.col("result_id").cast("long").alias("row_key"), F.col("pdf_doc_id").alias("doc"), F.col("page_from").alias("a"), F.col("page_to").alias("b"), "clean_text").dropDuplicates(["row_key"])
-        rows = rows.join(refs, "doc", "left").join(own, "doc", "left").join(offsets, "doc", "left")
+        rows = rows.join(refs, "doc", "left").join(offsets, "doc", "left")
         cut = F.transform(F.split("clean_text", "\n"), lambda x, i: F.struct(i.alias("pos"), F.trim(x, F.lit(" \t\r")).alias("line")))
         fitting = F.filter(cut, lambda x: (F.length(x["line"]) <= 24) | F.coalesce((F.length(x["line"]) >= F.col("lo")) & (F.length(x["line"]) <= F.col("hi")), F.lit(False)))
-        lines = rows.select("row_key", "a", "b", "refs", "own", "offsets", F.explode(fitting).alias("x")).select("row_key", "a", "b", "refs", "own", "offsets", "x.*").filter("line <> ''")
-        lines = lines.withColumn("number", F.when(F.length("line") <= 24, page_value(F.col("line")))).withColumn("key", F.when(F.col("number").isNull() & F.col("refs").isNotNull(), skeleton(F.col("line"))))
-        n = F.length("key")
-        near = F.exists("own", lambda r: (n >= 0.75 * F.length(r)) & (n <= 1.35 * F.length(r)) & (F.levenshtein(F.col("key"), r) <= F.greatest(F.floor(F.length(r) * 0.2), F.lit(2))))
+        lines = rows.select("row_key", "a", "b", "refs", "offsets", F.explode(fitting).alias("x")).select("row_key", "a", "b", "refs", "offsets", "x.*").filter("line <> ''")
+        lines = lines.withColumn("number", F.when(F.length("line") <= 24, page_value(F.col("line"))))
         # Title of the first page: among the first lines of the text that begins with page 1.
         title = (F.coalesce("a", F.lit(1)) == 1) & (F.col("pos") <= 3)
-        running = (n >= 5) & ~title & (F.array_contains("refs", F.col("key")) | F.coalesce(near, F.lit(False)))
+        running = ~title & F.array_contains("refs", plain_line(F.col("line")))
         real = F.transform("offsets", lambda o: F.col("number") - o)
         page = F.when(F.col("offsets").isNotNull(), F.exists(real, lambda p: (p >= F.col("a")) & (p <= F.col("b")))).otherwise(F.lower("line").rlike(DRESS))
         kind = F.when(F.col("number").isNotNull() & page, "page_number").when(F.col("number").isNull() & running, "running_line")
