@@ -94,6 +94,8 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", folder: str =
             out += [np.asarray(e.ids, np.int32) for e in t.encode_batch([x or "" for x in texts[lo : lo + 256]], add_special_tokens=False)]
         return pd.Series(out)
 
+    # Else a later filter on the result would run the tokenizer a second time.
+    ids_of = ids_of.asNondeterministic()
     short = rows.filter(F.col("text").isNull() | (F.length("text") <= leaf)).select("doc_id", ids_of("text").alias("ids"))
     long = rows.filter(F.length("text") > leaf)
     most = long.agg(F.max(F.length("text"))).first()[0] or 0
