@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -127,50 +129,65 @@ def _chunk_hits(spark, sf):
     return c, c.filter(F.col("id") % 100 < 3).withColumn("query_id", F.floor(F.col("id") / 100) % 50).withColumn("score", 1.0 - (F.col("id") % 97) / F.lit(100.0))
 
 
+_H_ALL = f"WITH ch AS ({_CH}), h AS (SELECT id // 450 * 10 + id % 10 AS query_id, *, {_SCORE} AS score FROM ch)"
+
+
+def _all_chunk_hits(spark, sf):
+    """Every chunk a hit: each run of 450 ids is dealt to ten queries, 45 hits each, so queries grow with the chunks."""
+    c = _chunks(spark, sf)
+    return c, c.withColumn("query_id", F.floor(F.col("id") / 450) * 10 + F.col("id") % 10).withColumn("score", 1.0 - (F.col("id") % 97) / F.lit(100.0))
+
+
 @R.add(_H + ", b AS (SELECT query_id, parent_key, max(score) AS score FROM h WHERE chunk_type = 'child' AND parent_key IS NOT NULL GROUP BY 1, 2) SELECT query_id, id, round(score, 6) AS score FROM (SELECT b.query_id, ch.id, b.score FROM b JOIN ch ON ch.parent_key = b.parent_key AND ch.chunk_type = 'parent' WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.query_id = b.query_id AND h.id = ch.id)) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 5")
-def join_parent_expand(spark, sf):
-    c, h = _chunk_hits(spark, sf)
+def join_parent_expand(spark, sf, hits=_chunk_hits):
+    c, h = hits(spark, sf)
     return V.expand_parents(h, c).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 @R.add(_H + " SELECT query_id, id, round(max(s), 6) AS score FROM (SELECT h.query_id, ch.id, h.score * 0.92 AS s FROM h JOIN ch ON h.doc = ch.doc AND ch.place BETWEEN h.place - 1 AND h.place + 1) x WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.query_id = x.query_id AND h.id = x.id) GROUP BY 1, 2")
-def join_adjacent_range(spark, sf):
-    c, h = _chunk_hits(spark, sf)
+def join_adjacent_range(spark, sf, hits=_chunk_hits):
+    c, h = hits(spark, sf)
     return V.expand_neighbours(h, c).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 @R.add(_H + ", s AS (SELECT *, len(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w = 'coordena')) AS strength, count(*) OVER (PARTITION BY query_id, parent_key) AS shared FROM h) SELECT query_id, id, round(score + least(strength, 3) * 0.12 + CASE WHEN coalesce(parent_key, '') <> '' AND shared > 1 THEN 0.072 ELSE 0 END + CASE WHEN chunk_type = 'parent' THEN 0.042 ELSE 0 END, 6) AS score FROM s")
-def ret_continuity(spark, sf):
-    _, h = _chunk_hits(spark, sf)
+def ret_continuity(spark, sf, hits=_chunk_hits):
+    _, h = hits(spark, sf)
     strength = F.size(F.filter(F.split(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "), " "), lambda w: w == "coordena"))
     return V.continuity(h.withColumn("strength", strength), 0.12).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 @R.add(_H + ", r AS (SELECT query_id, id, score, floor(length(text) / 3.5)::BIGINT AS tokens, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM h), g AS (SELECT *, sum(tokens) OVER (PARTITION BY query_id) AS total, coalesce(sum(tokens) OVER (PARTITION BY query_id ORDER BY (rank = 1)::INT, score, id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone FROM r) SELECT query_id, id, tokens FROM g WHERE rank = 1 OR total - gone <= 600")
-def ret_trim_budget(spark, sf):
-    _, h = _chunk_hits(spark, sf)
+def ret_trim_budget(spark, sf, hits=_chunk_hits):
+    _, h = hits(spark, sf)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = h.select("query_id", "id", "score", X.token_estimate(F.col("text")).cast("long").alias("tokens")).withColumn("rank", F.row_number().over(w))
     return V.trim_to_budget(ranked, 600).select("query_id", "id", "tokens")
 
 
 @R.add(_H + " SELECT query_id, id, round(0.65 * score + 0.35 * (1 / (1 + exp(-(length(text) % 11 - 5)))), 6) AS score FROM h")
-def ret_blend(spark, sf):
+def ret_blend(spark, sf, hits=_chunk_hits):
     """Base score and a second score (here from the length) through a sigmoid."""
-    _, h = _chunk_hits(spark, sf)
+    _, h = hits(spark, sf)
     second = (F.length("text") % 11 - 5).cast("double")
     return h.select("query_id", "id", F.round(0.65 * F.col("score") + 0.35 * N.sigmoid(second), 6).alias("score"))
 
 
 @R.add(_H + " SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY (artigo = 'Art. 1')::INT DESC NULLS LAST, score + CASE WHEN artigo = 'Art. 1' THEN 0.32 ELSE 0 END + CASE WHEN artigo = 'Art. 1' AND chunk_type = 'parent' THEN 0.08 ELSE 0 END DESC, id) AS rank FROM h")
-def ret_prioritize(spark, sf):
-    _, h = _chunk_hits(spark, sf)
+def ret_prioritize(spark, sf, hits=_chunk_hits):
+    _, h = hits(spark, sf)
     hit = F.col("artigo") == "Art. 1"
     score = F.col("score") + F.when(hit, 0.32).otherwise(0.0) + F.when(hit & (F.col("chunk_type") == "parent"), 0.08).otherwise(0.0)
     w = Window.partitionBy("query_id").orderBy(F.desc_nulls_last(hit.cast("int")), F.desc(score), "id")
     return h.select("query_id", "id", F.row_number().over(w).alias("rank"))
 
 
+# The same over every chunk. The queries above keep the hits that their SQL names, 3 % of the chunks.
+for _f in (join_parent_expand, join_adjacent_range, ret_continuity, ret_trim_budget, ret_blend, ret_prioritize):
+    R.queries[f"{_f.__name__}_all"] = partial(_f, hits=_all_chunk_hits)
+    R.sql[f"{_f.__name__}_all"] = R.sql[_f.__name__].replace(_H, _H_ALL)
+
+
 _TOK = f"list_filter(string_split({sql_norm('@')}, ' '), lambda w: length(w) > 1 AND NOT list_contains({_STOP}, w))"
 
 

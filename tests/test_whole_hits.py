@@ -1,0 +1,43 @@
+import pytest
+
+from garimpo.queries import core_queries
+
+CHUNK = "chunk_key long, pdf_doc_id string, chunk_index int, chunk_type string, parent_key string, artigo string, text string"
+N = 1000
+
+
+@pytest.fixture(scope="module")
+def sf(spark, tmp_path_factory):
+    """Documents of ten chunks: a parent, then its nine children."""
+    rows = [(i, f"d{i // 10}", i % 10, "child" if i % 10 else "parent", f"p{i // 10}", f"Art. {i % 10}", "coordena a rede " * (i % 4 + 1)) for i in range(N)]
+    folder = str(tmp_path_factory.mktemp("hits"))
+    spark.createDataFrame(rows + rows[:50], CHUNK).write.parquet(f"{folder}/legal_chunks.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["ret_continuity_all", "ret_blend_all", "ret_prioritize_all"])
+def test_every_chunk_is_a_hit(spark, sf, name):
+    got = core_queries()[name](spark, sf).collect()
+    assert sorted(r["id"] for r in got) == list(range(N))
+    by = {}
+    for r in got:
+        by.setdefault(r["query_id"], []).append(r["id"])
+    assert max(map(len, by.values())) == 45 and len(by) == 30
+
+
+def test_expansion_reaches_every_document(spark, sf):
+    queries = core_queries()
+    query = {r["id"]: r["query_id"] for r in queries["ret_blend_all"](spark, sf).collect()}
+    near = {(r["query_id"], r["id"]) for r in queries["join_adjacent_range_all"](spark, sf).collect()}
+    want = {(query[i], j) for i in range(N) for j in (i - 1, i + 1) if 0 <= j < N and i // 10 == j // 10}
+    assert near == {(q, j) for q, j in want if query[j] != q}
+    parents = queries["join_parent_expand_all"](spark, sf).collect()
+    assert parents and all(r["id"] % 10 == 0 for r in parents)
+
+
+def test_trimming_sees_every_query(spark, sf):
+    got = core_queries()["ret_trim_budget_all"](spark, sf).collect()
+    tokens = {}
+    for r in got:
+        tokens[r["query_id"]] = tokens.get(r["query_id"], 0) + r["tokens"]
+    assert len(tokens) == 30 and max(tokens.values()) <= 600
