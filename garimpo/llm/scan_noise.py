@@ -307,6 +307,11 @@ def hyphenated(text: Column) -> Column:
     return text.rlike(f"[{HYPHENS}](?<={BEFORE}.)[ \\t\\r]*(?:\\n\\s*{AFTER}|\\s*$)")
 
 
+def line_end_hyphen(text: Column) -> Column:
+    """A hyphen sign after a letter at the end of any line, whatever follows."""
+    return text.rlike(f"[{HYPHENS}](?<={BEFORE}.)\\s*(?:\\n|$)")
+
+
 class Noise:
     """The frames of one run, settled where several results need them."""
 
@@ -351,14 +356,29 @@ class Noise:
         kind = F.when(F.col("number").isNotNull() & page, "page_number").when(F.col("number").isNull() & running, "running_line")
         return lines.select("row_key", "pos", "line", kind.alias("kind")).filter("kind is not null")
 
+    def hyphen_rows(self, marked: DataFrame) -> DataFrame:
+        """src, row_key of the texts with words cut at line ends; marked: what result_lines gives.
+
+        Joined texts are judged without their marked lines, as page numbers and running lines may stand between the halves.
+        """
+        cand = self.texts.filter(line_end_hyphen(F.col("t")))
+        gone = marked.groupBy("row_key").agg(F.collect_set("pos").alias("gone"))
+        joined = cand.filter("src = 'pipeline_results'").join(gone, "row_key", "left")
+        # Lines without a letter or digit ('~ ~ ~') are never marked and hold no half of a word.
+        kept = F.filter(F.split("t", "\n"), lambda x, i: x.rlike(r"[\p{L}\p{N}]") & ~F.coalesce(F.array_contains("gone", i), F.lit(False)))
+        joined = joined.withColumn("t", F.array_join(kept, "\n"))
+        both = cand.filter("src = 'pdf_blocks'").unionByName(joined.select("src", "row_key", "t"))
+        return both.filter(hyphenated(F.col("t"))).select("src", "row_key")
+
     def found(self) -> DataFrame:
         """src, row_key, noise_kind."""
         blocks = lambda df, kind: df.select(F.lit("pdf_blocks").alias("src"), F.col("block_key").cast("long").alias("row_key"), F.lit(kind).alias("noise_kind"))
+        marked = settle(self.result_lines())
         kinds = [
-            self.texts.filter(hyphenated(F.col("t"))).select("src", "row_key", F.lit("hyphen").alias("noise_kind")),
+            self.hyphen_rows(marked).select("src", "row_key", F.lit("hyphen").alias("noise_kind")),
             misread_rows(self.texts, self.counts, self.right, self.known).select("src", "row_key", F.lit("misread").alias("noise_kind")),
             blocks(self.running, "running_line"), blocks(self.numbers, "page_number"),
-            self.result_lines().select(F.lit("pipeline_results").alias("src"), "row_key", F.col("kind").alias("noise_kind")),
+            marked.select(F.lit("pipeline_results").alias("src"), "row_key", F.col("kind").alias("noise_kind")),
         ]
         out = kinds[0]
         for k in kinds[1:]:

@@ -115,6 +115,15 @@ def test_scan_noise(spark):
     assert S.Noise(blocks.limit(0), joined.limit(0)).found().count() == 0
 
 
+def test_hyphens_over_pages(spark):
+    rows, _, _ = _noise(spark)
+    cut = ["O pedido foi repli-\n\n– 6 –\n\ncado hoje.", "A ava-\n\n– 6 –\n\nREGULAMENTO INTERNO 3/2020\n\nliação de hoje.", "O valor de X-\n\n– 6 –\n\n12.", "O envio da docu-\n\nREGULAMENTO INTERNO 3/2020\n\n~ ~ ~\n\nmentação.", "Um texto sem hífen.\n\n– 6 –"]
+    texts = [(10 + i, "d1", 2, 6, "Texto.\n\nOutro.\n\n" + t) for i, t in enumerate(cut)]
+    noise = S.Noise(spark.createDataFrame(rows, BLOCKS), spark.createDataFrame(texts, RESULTS))
+    found = noise.found().filter("src = 'pipeline_results' and noise_kind = 'hyphen'")
+    assert {r.row_key for r in found.collect()} == {10, 11, 13}
+
+
 def test_repair_rules():
     known = frozenset({"guarda", "volumes", "avaliação"})
     assert S.repair("guarda-\nvolumes da ava-\nliação\nde hoje.", None, {}, known) == "guarda-volumes da avaliação de hoje."
