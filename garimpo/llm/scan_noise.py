@@ -12,9 +12,15 @@
 * misread: word counts of the whole corpus are grouped by a key that maps characters of the same shape
   (e/c, m/rn, d/cl, o/0, ...) onto one another; a rare form beside a frequent plain word is a misreading of it.
 
+Margins are learned from the lines that documents repeat in the same place; no line, word or number is left
+out for its length (words from LEAST_WORD letters on, as shorter ones have no shape of their own).
+
+Repair: noise lines go, misread words are mended, and lines are joined. Whether a word cut at a line end
+keeps its hyphen is decided by the counts of all words of the corpus, joined to the cut words.
+
 Scale: only edge lines and per-document counts are shuffled. Word counts are pre-aggregated by partition.
 Rows are filtered against a broadcast of at most ``known_words`` frequent right words; what is left is
-joined with all misread forms, so the bound never loses one.
+joined with all misread forms, so the bound never loses one. Joins on a document alone are salted.
 
 Defined cases: null and blank texts have no noise; null bbox leaves position to the reading order; documents
 of one page are judged by what other documents repeat; re-delivered rows count once; empty tables give no
@@ -38,8 +44,8 @@ from garimpo.session import settle
 
 KNOWN_WORDS = 100_000
 ZONE = 3  # blocks from a page's edge
-TOP_Y, FOOT_Y = 45.0, 795.0
-LEAST_WORD, MARKED_TIMES, PLAIN_TIMES = 5, 2, 8
+SAME_PLACE, SLACK = 6.0, 12.0  # a repeated line moves less than this; one line more is still its margin
+LEAST_WORD, MARKED_TIMES, PLAIN_TIMES = 3, 2, 8
 HYPHENS = "-¬­‐‑"
 
 # ---------------------------------------------------------------- lines at page edges
@@ -54,6 +60,8 @@ PAGE = (
     r"^[^a-z0-9]*(?:(?:p[a-z0-9@]{0,2}[g9][il1|]n[a@]s?|p|pg|pag|page|fl|fls|f[o0][l1|]has?)[^a-z0-9]*(?:n[^a-z0-9]*)?)?"
     r"(?:0*(\d{1,5})|([ivxlc]{1,9}))(?:[^a-z0-9]*(?:de|of|/)?[^a-z0-9]*\d{1,5})?[^a-z0-9]*$"
 )
+#: Lines of at most five short words, whatever signs stand between them: no other can match PAGE.
+FEW_WORDS = r"^[^\p{L}\p{N}@]*(?:[\p{L}\p{M}\p{N}@]{1,12}[^\p{L}\p{N}@]*){1,5}$"
 DRESS = r"[a-z]{1,8}[^a-z0-9]*\d|[\[\]()|/–—-]|^[^a-z0-9]*0\d|\d[^a-z0-9]+(?:de|of|/)"
 
 
@@ -74,20 +82,23 @@ def page_value(line: Column) -> Column:
 
 
 def edge_lines(blocks: DataFrame) -> DataFrame:
-    """Lines that can be running lines or page numbers: block_key, doc, page, side, line, key, number, single, inside, y, title."""
+    """Lines that can be running lines or page numbers: block_key, doc, page, side, line, key, number, single, inside, y, title, up.
+
+    up: place of the block on its page, from above.
+    """
     text = F.trim(F.col("text"), F.lit(" \t\r\n"))
     rows = blocks.select(
         "block_key", F.col("pdf_doc_id").alias("doc"), F.col("page_number").alias("page"), F.col("block_seq").alias("seq"),
         F.get("bbox", F.lit(1)).alias("y"), (F.col("block_type") == "title").alias("title"), text.alias("t"),
     ).filter(F.col("t").rlike(r"[\p{L}\p{N}]") & F.col("doc").isNotNull() & F.col("page").isNotNull())
     first, last = F.substring_index("t", "\n", 1), F.substring_index("t", "\n", -1)
-    short = lambda c: F.when(F.length(c) <= 120, F.trim(c, F.lit(" \t\r")))
+    bare = lambda c: F.trim(c, F.lit(" \t\r"))
     # Rows of a table have as many bars as the line beside them.
     bars = lambda c: F.size(F.split(c, r"\|"))
     second, second_last = F.element_at(F.split(F.substring_index("t", "\n", 2), "\n"), -1), F.get(F.split(F.substring_index("t", "\n", -2), "\n"), F.lit(0))
     single = F.instr("t", "\n") == 0
-    plain = lambda c, beside: F.when(single | (bars(c) == 1) | (bars(c) != bars(beside)), short(c))
-    slim = rows.select("block_key", "doc", "page", "seq", "y", "title", plain(first, second).alias("first"), plain(last, second_last).alias("last"), single.alias("single"))
+    plain = lambda c, beside: F.when(single | (bars(c) == 1) | (bars(c) != bars(beside)), bare(c))
+    slim = rows.select("block_key", "doc", "page", "seq", "y", "title", plain(first, second).alias("first"), F.when(~single, plain(last, second_last)).alias("last"), single.alias("single"))
     page = Window.partitionBy("doc", "page")
     # dense_rank: re-delivered rows share the rank.
     ranked = slim.withColumn("up", F.dense_rank().over(page.orderBy("seq"))).withColumn("down", F.dense_rank().over(page.orderBy(F.desc("seq"))))
@@ -95,12 +106,12 @@ def edge_lines(blocks: DataFrame) -> DataFrame:
     each = F.filter(
         F.array(
             F.struct(F.lit("top").alias("side"), F.when(top & F.col("first").isNotNull(), F.col("first")).alias("line"), F.lit(False).alias("inside")),
-            F.struct(F.lit("foot").alias("side"), F.when(foot & F.col("last").isNotNull() & ~(F.col("single") & top), F.col("last")).alias("line"), F.lit(False).alias("inside")),
-            F.struct(F.lit("none").alias("side"), F.when(~top & ~foot & (F.col("single") | (F.length("first") <= 60)), F.col("first")).alias("line"), F.lit(True).alias("inside")),
+            F.struct(F.lit("foot").alias("side"), F.when(foot & ~(F.col("single") & top), F.coalesce("last", F.when(F.col("single"), F.col("first")))).alias("line"), F.lit(False).alias("inside")),
+            F.struct(F.lit("none").alias("side"), F.when(~top & ~foot, F.col("first")).alias("line"), F.lit(True).alias("inside")),
         ),
         lambda x: x["line"].isNotNull(),
     )
-    lines = ranked.select("block_key", "doc", "page", "y", "title", "single", F.explode(each).alias("e")).select("block_key", "doc", "page", "y", "title", "single", "e.*").distinct()
+    lines = ranked.select("block_key", "doc", "page", "y", "title", "single", "up", F.explode(each).alias("e")).select("block_key", "doc", "page", "y", "title", "single", "up", "e.*").distinct()
     lines = lines.withColumn("key", skeleton(F.col("line"))).withColumn("number", page_value(F.col("line")))
     # The last line of a paragraph goes on in lower case; that is running text.
     return lines.filter(F.col("single") | (F.col("side") != "foot") | F.col("number").isNotNull() | ~F.col("line").rlike(r"^\p{Ll}"))
@@ -111,20 +122,40 @@ def plain_line(line: Column) -> Column:
     return F.translate(line, "0123456789 \t", "")
 
 
-def in_margin() -> Column:
-    return F.coalesce(F.col("single") & ((F.col("y") <= TOP_Y) | (F.col("y") >= FOOT_Y)), F.lit(False))
+class Margins:
+    """The bands over and under the text, learned from what single lines at page edges repeat in the same place."""
+
+    def __init__(self, lines: DataFrame):
+        same = lines.filter("page > 1 and single and not inside and y is not null and number is null").filter(F.length("key") >= 6)
+        keys = same.groupBy("doc", "side", "key").agg(F.count("*").alias("n"), F.min("y").alias("lo"), F.max("y").alias("hi")).filter((F.col("n") >= 3) & (F.col("hi") - F.col("lo") <= SAME_PLACE))
+        row = keys.agg(
+            F.percentile_approx(F.when(F.col("side") == "top", F.col("hi")), 0.99).alias("top"), F.percentile_approx(F.when(F.col("side") == "foot", F.col("lo")), 0.01).alias("foot")
+        ).first()
+        self.top = float("-inf") if row["top"] is None else row["top"] + SLACK
+        self.foot = float("inf") if row["foot"] is None else row["foot"] - SLACK
+
+    def holds(self) -> Column:
+        return F.coalesce(F.col("single") & ((F.col("y") <= self.top) | (F.col("y") >= self.foot)), F.lit(False))
+
+    def title(self) -> Column:
+        """The title of a document's first page, which is no running line."""
+        return (F.col("page") == 1) & F.col("single") & (F.col("title") | F.coalesce((F.col("up") <= 2) & F.col("y").isNotNull(), F.lit(False))) & ~self.holds()
+
+
+SALTS = 16  # parts of a document's lines in joins with its few running lines or offsets
 
 
-def is_title() -> Column:
-    """The title of a document's first page, which is no running line."""
-    return (F.col("page") == 1) & F.col("single") & (F.col("title") | F.coalesce((F.col("y") > TOP_Y) & (F.col("y") < 120), F.lit(False))) & ~in_margin()
+def _salted(lines: DataFrame, few: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """lines joined with few on columns that a third of all lines may share."""
+    spread = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return lines.withColumn("_salt", F.pmod(F.xxhash64("block_key"), F.lit(SALTS)).cast("int")).join(spread, [*on, "_salt"], how).drop("_salt")
 
 
-def running_keys(lines: DataFrame, pages: DataFrame) -> DataFrame:
+def running_keys(lines: DataFrame, pages: DataFrame, margins: Margins) -> DataFrame:
     """doc, key of the running lines that a document repeats."""
-    named = lines.filter((F.length("key") >= 6) & F.col("number").isNull() & ~is_title())
+    named = lines.filter((F.length("key") >= 6) & F.col("number").isNull() & ~margins.title())
     by_page = named.groupBy("doc", "key", "page").agg(
-        F.max((~F.col("inside")).cast("int")).alias("edge"), F.max(in_margin().cast("int")).alias("margin"),
+        F.max((~F.col("inside")).cast("int")).alias("edge"), F.max(margins.holds().cast("int")).alias("margin"),
         F.max((F.col("single") & F.col("y").isNotNull()).cast("int")).alias("placed"),
     )
     sums = by_page.groupBy("doc", "key").agg(F.sum("edge").alias("edge"), F.count("*").alias("all"), F.sum("margin").alias("margin"), F.sum("placed").alias("placed")).join(pages, "doc")
@@ -133,23 +164,23 @@ def running_keys(lines: DataFrame, pages: DataFrame) -> DataFrame:
     return sums.filter(repeated & placed).select("doc", "key")
 
 
-def running_lines(lines: DataFrame, own: DataFrame, least_docs: int = 2) -> DataFrame:
+def running_lines(lines: DataFrame, own: DataFrame, margins: Margins, least_docs: int = 2) -> DataFrame:
     """block_key, doc, side, line of every running line."""
-    cand = lines.filter(~F.col("inside") & (F.length("key") >= 5) & F.col("number").isNull() & ~is_title())
-    exact = cand.join(own, ["doc", "key"], "left_semi")
-    rest = cand.join(own, ["doc", "key"], "left_anti")
+    cand = lines.filter(~F.col("inside") & (F.length("key") >= 5) & F.col("number").isNull() & ~margins.title())
+    exact = _salted(cand, own, ["doc", "key"], "left_semi")
+    rest = _salted(cand, own, ["doc", "key"], "left_anti")
     # Fuzzy: against the few running lines of the same document.
     refs = own.withColumnRenamed("key", "ref")
     n, m = F.length("key"), F.length("ref")
-    near = rest.join(refs, "doc").filter(
+    near = _salted(rest, refs, ["doc"]).filter(
         (F.startswith("ref", "key") & (n >= 0.6 * m)) | (F.startswith("key", "ref") & (n <= 1.4 * m)) | ((n >= 0.75 * m) & (n <= 1.35 * m) & (F.levenshtein("key", "ref") <= F.greatest(F.floor(m * 0.2), F.lit(2))))
     )
     # Short documents: what several others repeat, in the margin.
     shared = own.groupBy("key").agg(F.countDistinct("doc").alias("n")).filter(F.col("n") >= least_docs).select("key")
-    margin = rest.filter(in_margin())
+    margin = rest.filter(margins.holds())
     known = margin.join(shared, "key", "left_semi")
-    titles = lines.filter(is_title() & (F.length("key") >= 6)).select("doc", F.col("key").alias("ref")).distinct()
-    titled = margin.join(titles, "doc").filter(F.startswith("ref", "key") | F.startswith("key", "ref"))
+    titles = lines.filter(margins.title() & (F.length("key") >= 6)).select("doc", F.col("key").alias("ref")).distinct()
+    titled = _salted(margin, titles, ["doc"]).filter(F.startswith("ref", "key") | F.startswith("key", "ref"))
     cols = ["block_key", "doc", "side", "line"]
     return exact.select(cols).unionByName(near.select(cols)).unionByName(known.select(cols)).unionByName(titled.select(cols)).distinct()
 
@@ -161,12 +192,12 @@ def page_offsets(lines: DataFrame, pages: DataFrame) -> DataFrame:
     return sums.filter((F.col("n") >= 2) & (F.col("n") >= 0.2 * F.col("pages"))).select("doc", "offset")
 
 
-def page_numbers(lines: DataFrame, offsets: DataFrame) -> DataFrame:
+def page_numbers(lines: DataFrame, offsets: DataFrame, margins: Margins) -> DataFrame:
     """block_key, doc, side, line of every line that holds only its page's number."""
     cand = lines.filter(~F.col("inside") & F.col("number").isNotNull()).withColumn("offset", F.col("number") - F.col("page"))
-    agreed = cand.join(offsets, ["doc", "offset"], "left_semi")
-    dressed = F.lower("line").rlike(DRESS) | in_margin()
-    alone = cand.join(offsets.select("doc").distinct(), "doc", "left_anti").filter(dressed & ((F.abs("offset") <= 2000) | in_margin()))
+    agreed = _salted(cand, offsets, ["doc", "offset"], "left_semi")
+    dressed = F.lower("line").rlike(DRESS) | margins.holds()
+    alone = _salted(cand, offsets.select("doc").distinct(), ["doc"], "left_anti").filter(dressed & ((F.abs("offset") <= 2000) | margins.holds()))
     cols = ["block_key", "doc", "side", "line"]
     return agreed.select(cols).unionByName(alone.select(cols)).distinct()
 
@@ -176,6 +207,7 @@ def page_numbers(lines: DataFrame, offsets: DataFrame) -> DataFrame:
 SHAPES = str.maketrans({"m": "rri", "n": "ri", "d": "ci", "u": "ii", "e": "c", "l": "i", "1": "i", "|": "i", "f": "t", "@": "a", "0": "o", "5": "s", "9": "g", "6": "b", "8": "b", "2": "z"})
 _TOKEN = re.compile(r"[\w@|]{%d,}" % LEAST_WORD)
 _JOIN = re.compile(r"[%s](?<=[^\W\d_].)[ \t]*\n\s*(?=[^\W\d_])" % HYPHENS)
+_LOST = re.compile(r"[\w@|]*\ufffd[\w@|\ufffd]*")
 _HEAD = re.compile(r" [–|·] |\d/\d{4}")
 _ODD = re.compile(r"[^\x00-\x7fáàâãéêíóôõúçÁÀÂÃÉÊÍÓÔÕÚÇºª°–—¬­‐‑]")
 
@@ -193,7 +225,8 @@ def _found(part: str) -> list[str]:
     part = part.strip()
     joined = _JOIN.sub("", part) if "\n" in part else part
     low = joined.lower()
-    found = _TOKEN.findall(low)
+    # Halves of words with a lost character are no words.
+    found = _TOKEN.findall(_LOST.sub(" ", low) if "\ufffd" in low else low)
     if not found:
         return found
     if joined[0].islower() and low.startswith(found[0]):
@@ -320,10 +353,11 @@ class Noise:
         self.results = results.filter("result_id is not null")
         self.lines = settle(edge_lines(self.blocks))
         self.pages = self.lines.select("doc", "page").distinct().groupBy("doc").agg(F.count("*").alias("pages"))
-        self.own = settle(running_keys(self.lines, self.pages))
+        self.margins = Margins(self.lines)
+        self.own = settle(running_keys(self.lines, self.pages, self.margins))
         self.offsets = settle(page_offsets(self.lines, self.pages))
-        self.running = settle(running_lines(self.lines, self.own))
-        self.numbers = settle(page_numbers(self.lines, self.offsets))
+        self.running = settle(running_lines(self.lines, self.own, self.margins))
+        self.numbers = settle(page_numbers(self.lines, self.offsets, self.margins))
         self.counts = settle(word_counts(self.blocks, "text"))
         self.right = settle(right_words(self.counts))
         wrong = judged_words(self.counts, self.right).select("word")
@@ -345,9 +379,9 @@ class Noise:
         rows = self.results.filter(F.length("clean_text") > 0).select(F.col("result_id").cast("long").alias("row_key"), F.col("pdf_doc_id").alias("doc"), F.col("page_from").alias("a"), F.col("page_to").alias("b"), "clean_text").dropDuplicates(["row_key"])
         rows = rows.join(refs, "doc", "left").join(offsets, "doc", "left")
         cut = F.transform(F.split("clean_text", "\n"), lambda x, i: F.struct(i.alias("pos"), F.trim(x, F.lit(" \t\r")).alias("line")))
-        fitting = F.filter(cut, lambda x: (F.length(x["line"]) <= 24) | F.coalesce((F.length(x["line"]) >= F.col("lo")) & (F.length(x["line"]) <= F.col("hi")), F.lit(False)))
+        fitting = F.filter(cut, lambda x: x["line"].rlike(FEW_WORDS) | F.coalesce((F.length(x["line"]) >= F.col("lo")) & (F.length(x["line"]) <= F.col("hi")), F.lit(False)))
         lines = rows.select("row_key", "a", "b", "refs", "offsets", F.explode(fitting).alias("x")).select("row_key", "a", "b", "refs", "offsets", "x.*").filter("line <> ''")
-        lines = lines.withColumn("number", F.when(F.length("line") <= 24, page_value(F.col("line"))))
+        lines = lines.withColumn("number", F.when(F.col("line").rlike(FEW_WORDS), page_value(F.col("line"))))
         # Title of the first page: among the first lines of the text that begins with page 1.
         title = (F.coalesce("a", F.lit(1)) == 1) & (F.col("pos") <= 3)
         running = ~title & F.array_contains("refs", plain_line(F.col("line")))
@@ -391,33 +425,85 @@ class Noise:
         drop = drop.unionByName(self.result_lines().groupBy("row_key").agg(F.collect_set("line").alias("drop")).select(F.lit("pipeline_results").alias("src"), "row_key", "drop"))
         mend = misread_rows(self.texts, self.counts, self.right, self.known).groupBy("src", "row_key").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("word", "right")))).alias("mend"))
         rows = self.texts.dropDuplicates(["src", "row_key"]).join(drop, ["src", "row_key"], "left").join(mend, ["src", "row_key"], "left")
-        held = self.blocks.sparkSession.sparkContext.broadcast(frozenset(self.known))
+
+        def clear(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                clean = [without_lines(t, d) for t, d in zip(pdf["t"], pdf["drop"])]
+                pairs = [[{"a": a, "b": b} for a, b in sorted(broken_words(t))] for t in clean]
+                yield pd.DataFrame({"src": pdf["src"], "row_key": pdf["row_key"], "text": pdf["t"], "clean": clean, "mend": pdf["mend"], "pairs": pairs})
+
+        clean = settle(rows.mapInPandas(clear, "src string, row_key long, text string, clean string, mend map<string,string>, pairs array<struct<a:string,b:string>>"))
+        cut = clean.select("src", "row_key", F.explode("pairs").alias("p")).select("src", "row_key", "p.*")
+        kept = hyphen_rules(cut, vocabulary(self.texts))
+        hyphens = cut.join(kept, ["a", "b"]).groupBy("src", "row_key").agg(F.collect_set(F.concat_ws("-", "a", "b")).alias("keep"))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                fixed = [repair(t, d, dict(m) if m is not None else {}, held.value) for t, d, m in zip(pdf["t"], pdf["drop"], pdf["mend"])]
-                yield pd.DataFrame({"src": pdf["src"], "row_key": pdf["row_key"], "text": pdf["t"], "repaired": fixed})
+                fixed = [repair(t, dict(m) if m is not None else {}, frozenset(k) if k is not None else frozenset()) for t, m, k in zip(pdf["clean"], pdf["mend"], pdf["keep"])]
+                yield pd.DataFrame({"src": pdf["src"], "row_key": pdf["row_key"], "text": pdf["text"], "repaired": fixed})
 
-        return rows.mapInPandas(run, "src string, row_key long, text string, repaired string")
+        return clean.drop("pairs").join(hyphens, ["src", "row_key"], "left").mapInPandas(run, "src string, row_key long, text string, repaired string")
+
+
+def vocabulary(texts: DataFrame) -> DataFrame:
+    """word, n of all words of the column t, compounds beside their parts, but for words cut at line ends."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c: Counter = Counter()
+
+        def flush():
+            words = list(c.items())
+            c.clear()
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in words], pa.string()), pa.array([n for _, n in words], pa.int64())], names=["word", "n"])
+
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                low = _SPLIT.sub(" ", clean_form(t)).lower()
+                c.update(_WORDS.findall(low))
+                if "-" in low:
+                    c.update(_COMPOUND.findall(low))
+            if len(c) > 300_000:
+                yield flush()
+        yield flush()
+
+    return texts.select("t").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def hyphen_rules(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """a, b of the words cut at line ends whose hyphen stays, by the whole corpus.
+
+    The spelling that the corpus has more often is taken; where it has neither, two words of their own keep
+    their hyphen.
+    """
+    rows = pairs.select("a", "b").distinct().withColumn("ab", F.concat("a", "b")).withColumn("h", F.concat_ws("-", "a", "b"))
+    for key in ("a", "b", "ab", "h"):
+        rows = rows.join(words.select(F.col("word").alias(key), F.col("n").alias(f"{key}_n")), key, "left").fillna(0, [f"{key}_n"])
+    return rows.filter((F.col("h_n") > F.col("ab_n")) | ((F.col("ab_n") == 0) & (F.col("a_n") > 0) & (F.col("b_n") > 0))).select("a", "b")
 
 
 _SPLIT = re.compile(r"([^\W\d_]+)[%s][ \t]*\n\s*([^\W\d_]+)" % HYPHENS)
 _END = re.compile(r"[.!?:;|]$")
+_WORDS = re.compile(r"[^\W\d_]+")
+_COMPOUND = re.compile(r"[^\W\d_]+-[^\W\d_]+")
 
 
-def repair(text: str, drop, mend: dict[str, str], known: frozenset[str]) -> str:
-    """One text without its noise."""
+def without_lines(text: str, drop) -> str:
+    """The text in its clean form without the lines that are noise."""
     gone = set(drop) if drop is not None else set()
-    lines = [line for line in text.split("\n") if line.strip() not in gone]
-    t = clean_form("\n".join(lines))
+    return clean_form("\n".join(line for line in text.split("\n") if line.strip() not in gone))
+
+
+def broken_words(text: str) -> set[tuple[str, str]]:
+    """Both halves of the words cut at line ends, in lower case."""
+    return {(m[1].lower(), m[2].lower()) for m in _SPLIT.finditer(text)}
+
+
+def repair(t: str, mend: dict[str, str], keep: frozenset[str]) -> str:
+    """A text without noise lines made continuous. keep: cut words, in lower case, whose hyphen stays."""
 
     def join(m: re.Match) -> str:
         a, b = m[1], m[2]
-        low = (a + b).lower()
-        # The corpus decides: a joined word it knows, or two words of their own that keep their hyphen.
-        if low not in known and low not in mend and a.lower() in known and b.lower() in known:
-            return f"{a}-{b}"
-        return a + b
+        return f"{a}-{b}" if f"{a}-{b}".lower() in keep else a + b
 
     t = _SPLIT.sub(join, t)
     if mend:

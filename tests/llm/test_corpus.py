@@ -125,9 +125,27 @@ def test_hyphens_over_pages(spark):
 
 
 def test_repair_rules():
-    known = frozenset({"guarda", "volumes", "avaliação"})
-    assert S.repair("guarda-\nvolumes da ava-\nliação\nde hoje.", None, {}, known) == "guarda-volumes da avaliação de hoje."
-    assert S.repair("A coordcnação.\nPágina 3", {"Página 3"}, {"coordcnação": "coordenação"}, known) == "A coordenação."
+    assert S.repair("guarda-\nvolumes da ava-\nliação\nde hoje.", {}, frozenset({"guarda-volumes"})) == "guarda-volumes da avaliação de hoje."
+    assert S.repair(S.without_lines("A coordcnação.\nPágina 3", {"Página 3"}), {"coordcnação": "coordenação"}, frozenset()) == "A coordenação."
+
+
+def test_hyphens_by_corpus(spark):
+    """Full counts decide, short halves included."""
+    texts = ["O vice-\npresidente e a pré-\nnatal da ava-\nliação.", "O vice falou com o presidente.", "Exame pré-natal hoje.", "Nova avaliação: ava e liação.", "guarda-\nchuva", None]
+    df = spark.createDataFrame([(t,) for t in texts if t], "t string")
+    pairs = spark.createDataFrame([p for t in texts if t for p in S.broken_words(t)], "a string, b string")
+    assert {tuple(r) for r in S.hyphen_rules(pairs, S.vocabulary(df)).collect()} == {("vice", "presidente"), ("pré", "natal")}
+
+
+def test_long_running_line(spark):
+    head = "MANUAL DE PROCEDIMENTOS DA ÁREA TÉCNICA " * 5
+    rows = []
+    for p in range(1, 9):
+        rows += [(10 * p, "d", "w", p, 10 * p, "body", head.strip(), [50.0, 24.0, 500.0, 34.0])]
+        rows += [(10 * p + k, "d", "w", p, 10 * p + k, "body", f"Texto {'abcdefgh'[p - 1]} da parte {'xyzw'[k]} com fim.", [50.0, 100.0 * k + 90, 500.0, 300.0]) for k in range(1, 4)]
+    noise = S.Noise(spark.createDataFrame(rows, BLOCKS), spark.createDataFrame([], RESULTS))
+    found = {r.row_key for r in noise.found().filter("noise_kind = 'running_line'").collect()}
+    assert found == {10 * p for p in range(1, 9)}
 
 
 def test_mixing_plan_and_quotas():
