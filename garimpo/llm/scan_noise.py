@@ -61,7 +61,7 @@ PAGE = (
     r"(?:0*(\d{1,5})|([ivxlc]{1,9}))(?:[^a-z0-9]*(?:de|of|/)?[^a-z0-9]*\d{1,5})?[^a-z0-9]*$"
 )
 #: Lines of at most five short words, whatever signs stand between them: no other can match PAGE.
-FEW_WORDS = r"^[^\p{L}\p{N}@]*(?:[\p{L}\p{M}\p{N}@]{1,12}[^\p{L}\p{N}@]*){1,5}$"
+FEW_WORDS = r"^[^\p{L}\p{N}@]*+(?:[\p{L}\p{M}\p{N}@]{1,12}+(?:[^\p{L}\p{N}@]++|$)){1,5}+$"
 DRESS = r"[a-z]{1,8}[^a-z0-9]*\d|[\[\]()|/–—-]|^[^a-z0-9]*0\d|\d[^a-z0-9]+(?:de|of|/)"
 
 
@@ -142,11 +142,11 @@ class Margins:
         return (F.col("page") == 1) & F.col("single") & (F.col("title") | F.coalesce((F.col("up") <= 2) & F.col("y").isNotNull(), F.lit(False))) & ~self.holds()
 
 
-SALTS = 16  # parts of a document's lines in joins with its few running lines or offsets
+SALTS = 8  # parts of a document's lines in joins with its few running lines or offsets
 
 
 def _salted(lines: DataFrame, few: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """lines joined with few on columns that a third of all lines may share."""
+    """lines joined with few on columns that a third of all lines may share; semi and anti joins are split by adaptive execution."""
     spread = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return lines.withColumn("_salt", F.pmod(F.xxhash64("block_key"), F.lit(SALTS)).cast("int")).join(spread, [*on, "_salt"], how).drop("_salt")
 
@@ -167,8 +167,8 @@ def running_keys(lines: DataFrame, pages: DataFrame, margins: Margins) -> DataFr
 def running_lines(lines: DataFrame, own: DataFrame, margins: Margins, least_docs: int = 2) -> DataFrame:
     """block_key, doc, side, line of every running line."""
     cand = lines.filter(~F.col("inside") & (F.length("key") >= 5) & F.col("number").isNull() & ~margins.title())
-    exact = _salted(cand, own, ["doc", "key"], "left_semi")
-    rest = _salted(cand, own, ["doc", "key"], "left_anti")
+    exact = cand.join(own, ["doc", "key"], "left_semi")
+    rest = cand.join(own, ["doc", "key"], "left_anti")
     # Fuzzy: against the few running lines of the same document.
     refs = own.withColumnRenamed("key", "ref")
     n, m = F.length("key"), F.length("ref")
@@ -180,7 +180,7 @@ def running_lines(lines: DataFrame, own: DataFrame, margins: Margins, least_docs
     margin = rest.filter(margins.holds())
     known = margin.join(shared, "key", "left_semi")
     titles = lines.filter(margins.title() & (F.length("key") >= 6)).select("doc", F.col("key").alias("ref")).distinct()
-    titled = _salted(margin, titles, ["doc"]).filter(F.startswith("ref", "key") | F.startswith("key", "ref"))
+    titled = margin.join(titles, "doc").filter(F.startswith("ref", "key") | F.startswith("key", "ref"))
     cols = ["block_key", "doc", "side", "line"]
     return exact.select(cols).unionByName(near.select(cols)).unionByName(known.select(cols)).unionByName(titled.select(cols)).distinct()
 
@@ -195,9 +195,9 @@ def page_offsets(lines: DataFrame, pages: DataFrame) -> DataFrame:
 def page_numbers(lines: DataFrame, offsets: DataFrame, margins: Margins) -> DataFrame:
     """block_key, doc, side, line of every line that holds only its page's number."""
     cand = lines.filter(~F.col("inside") & F.col("number").isNotNull()).withColumn("offset", F.col("number") - F.col("page"))
-    agreed = _salted(cand, offsets, ["doc", "offset"], "left_semi")
+    agreed = cand.join(offsets, ["doc", "offset"], "left_semi")
     dressed = F.lower("line").rlike(DRESS) | margins.holds()
-    alone = _salted(cand, offsets.select("doc").distinct(), ["doc"], "left_anti").filter(dressed & ((F.abs("offset") <= 2000) | margins.holds()))
+    alone = cand.join(offsets.select("doc").distinct(), "doc", "left_anti").filter(dressed & ((F.abs("offset") <= 2000) | margins.holds()))
     cols = ["block_key", "doc", "side", "line"]
     return agreed.select(cols).unionByName(alone.select(cols)).distinct()
 
