@@ -61,6 +61,19 @@ def test_large_lists_in_blocks(spark, monkeypatch):
     got = {(r[0], r[1]) for r in N.pairs(df, list_size=300, probes=4, members=4).collect()}
     true = _true_pairs(vectors)
     assert len(got & true) >= 0.9 * len(true)
+    assert {(r[0], r[1]) for r in N.pairs(df, exact=True).collect()} == true
+
+
+def test_two_levels_and_graph_search(monkeypatch):
+    monkeypatch.setattr(N, "TWO_LEVELS", 16)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 8))[rng.integers(60, size=6000)] @ rng.normal(size=(8, 64)) + rng.normal(size=(6000, 64)) * 0.3
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    c, n = N.two_level_centroids(x, 120)
+    assert 60 <= len(c) <= 240 and n.sum() == len(x) and n.max() <= 8 * n.mean()
+    found, cos = N.Lists(c, 0, np.ones(len(c), int)).search(x[:500], 24)
+    best = np.argmax(x[:500] @ c.T, 1)
+    assert (found[:, 0] == best).mean() >= 0.97 and (np.diff(cos, axis=1) <= 1e-6).all()
 
 
 BLOCKS = "block_key long, pdf_doc_id string, workspace_id string, page_number int, block_seq int, block_type string, text string, bbox array<double>"
