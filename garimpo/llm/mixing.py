@@ -77,13 +77,14 @@ def shard_quotas(units: np.ndarray, shards: int, seed: int = SEED) -> np.ndarray
     return out
 
 
-def sized(documents: DataFrame, **kw) -> DataFrame:
-    """doc_id, source, n_tokens, block, h of the documents that can take part."""
+def sized(documents: DataFrame, sources: list[str] | None = None, **kw) -> DataFrame:
+    """doc_id, source, n_tokens, block, part, h of the documents that can take part (of the given sources)."""
     named = documents.filter("doc_id is not null").select("doc_id", source_name(F.col("source")).alias("source"), "text").filter(F.col("source").isNotNull() & F.col("text").isNotNull())
-    n = tokens.sizes(named.select("doc_id", "text"), **kw).filter("n_tokens > 0").dropDuplicates(["doc_id"])
-    rows = n.join(named.select("doc_id", "source").dropDuplicates(["doc_id"]), "doc_id")
+    if sources is not None:
+        named = named.filter(F.col("source").isin(sources))
+    rows = tokens.sizes(named, carry=("source",), **kw).filter("n_tokens > 0").dropDuplicates(["doc_id"])
     h = F.xxhash64("doc_id", F.lit(SEED))
-    return rows.select("doc_id", "source", "n_tokens", F.pmod(h, F.lit(BLOCKS)).cast("int").alias("block"), F.shiftright(h, 10).alias("h"))
+    return rows.select("doc_id", "source", "n_tokens", F.pmod(h, F.lit(BLOCKS)).cast("int").alias("block"), F.pmod(F.shiftright(h, 10), F.lit(BLOCKS)).cast("int").alias("part"), F.shiftright(h, 20).alias("h"))
 
 
 def mix(documents: DataFrame, targets: DataFrame, shards: int = SHARDS, **kw) -> DataFrame:
@@ -92,7 +93,7 @@ def mix(documents: DataFrame, targets: DataFrame, shards: int = SHARDS, **kw) ->
     # The target table is fixed and small; it is read whole.
     goals = {r[0]: (float(r[1]), int(r[2])) for r in targets.select(source_name(F.col("source")), "target_share", "max_repeats").collect() if r[0] and r[1] is not None and r[2] is not None}
     schema = "doc_id long, source string, copy int, n_tokens long, shard int, order_key long"
-    rows = settle(sized(documents.withColumn("doc_id", F.col("doc_id").cast("long")), **kw).filter(F.col("source").isin(list(goals))))
+    rows = settle(sized(documents.withColumn("doc_id", F.col("doc_id").cast("long")), sorted(goals), **kw))
     sums: dict[str, np.ndarray] = {}
     for r in rows.groupBy("source", "block").agg(F.sum("n_tokens").alias("n")).collect():
         sums.setdefault(r["source"], np.zeros(BLOCKS, np.int64))[r["block"]] = r["n"]
@@ -111,14 +112,26 @@ def mix(documents: DataFrame, targets: DataFrame, shards: int = SHARDS, **kw) ->
         placed += [(s, int(units[s][u][0]), int(units[s][u][1]), int(where[k])) for k, u in enumerate(order)]
     # At most sources x repeats x BLOCKS rows.
     unit_rows = spark.createDataFrame(placed, "source string, copy int, block int, shard int")
-    edges = spark.createDataFrame([(s, m["full"], m["edge"], float(m["left"])) for s, m in made.items()], "source string, edge_copy int, edge int, left double")
+    edges = spark.createDataFrame([(s, m["full"], m["edge"]) for s, m in made.items()], "source string, edge_copy int, edge int")
 
     every = rows.join(F.broadcast(unit_rows), ["source", "block"]).join(F.broadcast(edges), "source")
-    inside = every.filter((F.col("copy") < F.col("edge_copy")) | (F.col("block") < F.col("edge")))
-    # The edge block of each source alone is put in order, to cut nearest to the quota.
+    inside = every.filter((F.col("copy") < F.col("edge_copy")) | (F.col("block") < F.col("edge"))).drop("part")
+    # The edge block of a source is cut nearest to the quota: its parts are summed (sources x BLOCKS rows), and
+    # the documents of one part, a millionth of the source, are put in order.
+    edge = every.filter((F.col("copy") == F.col("edge_copy")) & (F.col("block") == F.col("edge")))
+    part_sums: dict[str, np.ndarray] = {}
+    for r in edge.groupBy("source", "part").agg(F.sum("n_tokens").alias("n")).collect():
+        part_sums.setdefault(r["source"], np.zeros(BLOCKS, np.int64))[r["part"]] = r["n"]
+    cuts = []
+    for s, sums_of in part_sums.items():
+        ends = np.cumsum(sums_of)
+        at = min(int(np.searchsorted(ends, made[s]["left"], side="right")), BLOCKS - 1)
+        cuts.append((s, at, float(made[s]["left"] - (ends[at - 1] if at else 0))))
+    cut = edge.join(F.broadcast(spark.createDataFrame(cuts, "source string, cut int, left double")), "source")
     w = Window.partitionBy("source").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    edge = every.filter((F.col("copy") == F.col("edge_copy")) & (F.col("block") == F.col("edge"))).withColumn("upto", F.sum("n_tokens").over(w))
-    nearest = edge.filter(F.abs(F.col("upto") - F.col("left")) <= F.abs(F.col("upto") - F.col("n_tokens") - F.col("left"))).drop("upto")
+    last = cut.filter("part = cut").withColumn("upto", F.sum("n_tokens").over(w))
+    nearest = last.filter(F.abs(F.col("upto") - F.col("left")) <= F.abs(F.col("upto") - F.col("n_tokens") - F.col("left")))
+    nearest = cut.filter("part < cut").drop("part", "cut", "left").unionByName(nearest.drop("part", "cut", "left", "upto"))
     key = F.xxhash64("doc_id", "copy", F.lit(SEED + 2))
     return inside.unionByName(nearest).select("doc_id", "source", "copy", "n_tokens", "shard", key.alias("order_key"))
 

@@ -1,7 +1,8 @@
 """Token ids of a whole corpus with a public tokenizer.
 
 Texts up to ``leaf`` characters are encoded in Arrow batches. Longer ones are cut into leaves that are encoded
-in parallel and joined in a tree. At a join the tokenizer runs again over a window around it: from the last
+in parallel, in a given number of tasks, and joined in a tree; one task joins FAN neighbours, so that a text of up to
+FAN leaves is shuffled once and finished texts are not shuffled with longer ones. At a join the tokenizer runs again over a window around it: from the last
 split point of the left side that no later text can move, to the first split point that the window and the
 right side have in common. The window grows until there is one, so the result equals encoding the text whole.
 
@@ -19,9 +20,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from garimpo.session import settle
 
 FOLDER, NAME, LEAF = "/opt/tokenizers", "byte_bpe_50k.json", 4096
+FAN = 16  # neighbouring stretches joined (in a tree) by one task
 #: The split pattern looks at most two characters past a split ('re, 've, 'll).
 AHEAD = 3
 
@@ -82,9 +86,16 @@ def join_pieces(t, a: Piece, b: Piece, window: int = 64) -> Piece:
     )
 
 
-def encode(df: DataFrame, key: str = "doc_id", text: str = "text", folder: str = FOLDER, name: str = NAME, leaf: int = LEAF) -> DataFrame:
-    """key, ids of every row."""
-    rows = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+def joined(t, pieces: list[Piece]) -> Piece:
+    """The pieces of a stretch as one, joined in a tree."""
+    while len(pieces) > 1:
+        pieces = [join_pieces(t, *pieces[i : i + 2]) if len(pieces[i : i + 2]) == 2 else pieces[i] for i in range(0, len(pieces), 2)]
+    return pieces[0]
+
+
+def encode(df: DataFrame, key: str = "doc_id", text: str = "text", folder: str = FOLDER, name: str = NAME, leaf: int = LEAF, carry: tuple[str, ...] = ()) -> DataFrame:
+    """key, the columns to carry, ids of every row."""
+    rows = df.select(F.col(key).alias("doc_id"), F.struct(*[F.col(c) for c in carry] or [F.lit(0).alias("none")]).alias("with_it"), F.col(text).alias("text"))
 
     @F.pandas_udf("array<int>")
     def ids_of(texts: pd.Series) -> pd.Series:
@@ -94,17 +105,20 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", folder: str =
             out += [np.asarray(e.ids, np.int32) for e in t.encode_batch([x or "" for x in texts[lo : lo + 256]], add_special_tokens=False)]
         return pd.Series(out)
 
+    def named(found: DataFrame) -> DataFrame:
+        return found.select(F.col("doc_id").alias(key), *[F.col("with_it")[c].alias(c) for c in carry], "ids")
+
     # Else a later filter on the result would run the tokenizer a second time.
     ids_of = ids_of.asNondeterministic()
-    short = rows.filter(F.col("text").isNull() | (F.length("text") <= leaf)).select("doc_id", ids_of("text").alias("ids"))
+    short = rows.filter(F.col("text").isNull() | (F.length("text") <= leaf)).select("doc_id", "with_it", ids_of("text").alias("ids"))
     long = rows.filter(F.length("text") > leaf)
-    most = long.agg(F.max(F.length("text"))).first()[0] or 0
+    leaves_of = F.ceil(F.length("text") / F.lit(leaf))
+    most, every = long.agg(F.max(leaves_of), F.sum(leaves_of)).first()
     if not most:
-        return short.withColumnRenamed("doc_id", key)
-    cut = long.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("copy"), F.posexplode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(leaf))).alias("node", "start"))
-    leaves = cut.select("doc_id", "copy", "node", F.substring("text", F.col("start") + 1, F.lit(leaf)).alias("text"))
-    schema = "doc_id {0}, copy long, node int, text string, ids array<int>, ends array<long>, counts array<long>".format(dict(rows.dtypes)["doc_id"])
-    names = ["doc_id", "copy", "node", "text", "ids", "ends", "counts"]
+        return named(short)
+    cut = long.select("doc_id", "with_it", "text", F.xxhash64("doc_id", "text").alias("copy"), leaves_of.cast("int").alias("n"), F.posexplode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(leaf))).alias("node", "start"))
+    leaves = cut.select("doc_id", F.when(F.col("node") == 0, F.col("with_it")).alias("with_it"), "copy", "n", "node", F.substring("text", F.col("start") + 1, F.lit(leaf)).alias("text"))
+    schema = T.StructType([*leaves.schema.fields, *[T.StructField(c, T.ArrayType(k)) for c, k in (("ids", T.IntegerType()), ("ends", T.LongType()), ("counts", T.LongType()))]])
 
     def encode_leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = tokenizer(folder, name)
@@ -112,18 +126,29 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", folder: str =
             made = [encode_piece(t, x) for x in pdf["text"]]
             yield pdf.assign(ids=[p.ids for p in made], ends=[p.ends for p in made], counts=[p.counts for p in made])
 
-    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = tokenizer(folder, name)
-        pdf = pdf.sort_values("node").drop_duplicates("node")
-        got = [Piece(*x) for x in zip(pdf["text"], pdf["ids"], pdf["ends"], pdf["counts"])]
-        p = got[0] if len(got) == 1 else join_pieces(t, *got)
-        return pd.DataFrame([(pdf["doc_id"].iloc[0], pdf["copy"].iloc[0], int(pdf["node"].iloc[0]) // 2, p.text, p.ids, p.ends, p.counts)], columns=names)
-
-    nodes = leaves.repartition("doc_id", "node").mapInPandas(encode_leaves, schema)
-    for _ in range(int(np.ceil(np.log2(max(2, -(-most // leaf)))))):
-        nodes = nodes.withColumn("up", F.floor(F.col("node") / 2)).groupBy("doc_id", "copy", "up").applyInPandas(pair, schema)
-    return short.unionByName(nodes.select("doc_id", "ids")).withColumnRenamed("doc_id", key)
-
-
-def sizes(df: DataFrame, key: str = "doc_id", text: str = "text", **kw) -> DataFrame:
-    return encode(df, key, text, **kw).select(key, F.size("ids").cast("long").alias("n_tokens"))
+    def join(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("node").drop_duplicates("node")
+        p = joined(tokenizer(folder, name), [Piece(*x) for x in zip(group["text"], group["ids"], group["ends"], group["counts"])])
+        first = group.iloc[:1].copy()
+        first["node"] //= FAN
+        for c in ("text", "ids", "ends", "counts"):
+            first[c] = [getattr(p, c)]
+        return first
+
+    # A fixed number of tasks: by their bytes adaptive execution would put all leaves into one.
+    parts = int(min(max(df.sparkSession.sparkContext.defaultParallelism, every // 256), every, 100_000))
+    nodes, out, left = leaves.repartition(parts, "doc_id", "node").mapInPandas(encode_leaves, schema), short, most
+    while True:
+        nodes = nodes.groupBy("doc_id", "copy", F.floor(F.col("node") / FAN)).applyInPandas(join, schema)
+        nodes = nodes.withColumn("n", F.ceil(F.col("n") / F.lit(FAN)).cast("int"))
+        left = -(-left // FAN)
+        if left == 1:
+            return named(out.unionByName(nodes.select("doc_id", "with_it", "ids")))
+        # Finished texts leave; only those with further joins are shuffled again.
+        nodes = settle(nodes)
+        out = out.unionByName(nodes.filter("n = 1").select("doc_id", "with_it", "ids"))
+        nodes = nodes.filter("n > 1")
+
+
+def sizes(df: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), **kw) -> DataFrame:
+    return encode(df, key, text, carry=carry, **kw).select(key, *carry, F.size("ids").cast("long").alias("n_tokens"))
