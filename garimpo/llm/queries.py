@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from garimpo.llm import conversations, garbled, mixing, neighbours, scan_noise, splitting, subjects, tokens
-from garimpo.session import table
+from garimpo.session import checkpoint_dir, table
 
 
 def p1_found(spark, sf_dir):
@@ -40,6 +40,16 @@ def p6_pieces(spark, sf_dir):
     return _both(spark, sf_dir, splitting.pieces)
 
 
+def p6_file_pieces(spark, sf_dir):
+    """The texts of legal_nodes written to giant text files in the shared folder, cut there by byte ranges."""
+    from pyspark.sql import functions as F
+
+    folder = f"{checkpoint_dir(spark)}/p6_texts"
+    table(spark, sf_dir, "legal_nodes").filter("text is not null").select(F.col("text").alias("value")).write.mode("overwrite").text(folder)
+    files = sorted(r[0] for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder).select("path").collect())
+    return splitting.file_pieces(spark, [f.removeprefix("file:") for f in files], range_bytes=1 << 20).withColumn("path", F.element_at(F.split("path", "/"), -1))
+
+
 def p7_found(spark, sf_dir):
     """(conversation_id, defect) of each dropped conversation."""
     return conversations.defects(table(spark, sf_dir, "messages"))
@@ -90,4 +100,4 @@ def p4_repaired(spark, sf_dir):
     return scan_noise.Noise(table(spark, sf_dir, "pdf_blocks"), table(spark, sf_dir, "pipeline_results")).repaired()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p4_found, p4_repaired, p6_found, p6_pieces, p7_found, p7_conversations, p8_ids, p9_mix, p9_shares, p10_found, p10_composition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p4_found, p4_repaired, p6_found, p6_pieces, p6_file_pieces, p7_found, p7_conversations, p8_ids, p9_mix, p9_shares, p10_found, p10_composition)}

@@ -107,13 +107,22 @@ def test_file_pieces(spark, tmp_path):
     rng = random.Random(5)
     text = "".join(rng.choice(["palavra ", "fim. ", "é\n", "ção", "longo" * 30]) for _ in range(3000))
     (tmp_path / "f.txt").write_text(text)
-    raw = text.encode()
-    rows = S.file_pieces(spark, str(tmp_path / "f.txt"), limit=200, overlap=20, range_bytes=700).orderBy("start", "end").collect()
-    assert rows[0].start == 0 and max(r.end for r in rows) == len(raw)
-    at = 0
-    for r in rows:
-        assert raw[r.start : r.end].decode() == r.piece and len(r.piece) <= 200 and r.start <= at
-        at = r.end
+    (tmp_path / "g.txt").write_text("á" * 900)
+    (tmp_path / "empty.txt").write_text("")
+    paths = [str(tmp_path / f"{n}.txt") for n in ("f", "g", "empty")]
+    got = S.file_pieces(spark, paths, limit=200, overlap=20, range_bytes=700).collect()
+    for path in paths[:2]:
+        raw = open(path, "rb").read()
+        rows = sorted((r for r in got if r.path == path), key=lambda r: r.piece_no)
+        assert [r.piece_no for r in rows] == list(range(len(rows)))
+        assert rows[0].start == 0 and max(r.end for r in rows) == len(raw)
+        at = 0
+        for r in rows:
+            assert raw[r.start : r.end].decode() == r.piece and len(r.piece) <= 200 and r.start <= at
+            at = r.end
+    assert not [r for r in got if r.path == paths[2]]
+    classes = {r.path: r.cut_class for r in S.file_class(spark, paths, limit=200, range_bytes=333).collect()}
+    assert classes == {p: _class(open(p).read(), 200) for p in paths[:2]}
 
 
 def _brute(rows):
