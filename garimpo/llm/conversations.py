@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,14 +52,24 @@ def trimmed(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), f"^{BLANKS}|{BLANKS}$", "")
 
 
-def ordered(messages: DataFrame) -> DataFrame:
-    """Rows in conversation order, cut into ranges of similar size whatever a conversation holds."""
-    rows = messages.filter(F.col("conversation_id").isNotNull()).select(
+ORDER = ["conversation_id", "us", "message_id"]
+
+
+def readable(messages: DataFrame) -> DataFrame:
+    """conversation_id, message_id, who, said, us of the rows with a conversation."""
+    return messages.filter(F.col("conversation_id").isNotNull()).select(
         "conversation_id", "message_id", speaker(F.col("role")).alias("who"), trimmed(F.col("content")).alias("said"),
         (F.unix_micros(F.col("created_at").cast("timestamp"))).alias("us"),
     )
-    order = ["conversation_id", "us", "message_id"]
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("pid", F.spark_partition_id())
+
+
+def in_ranges(rows: DataFrame) -> DataFrame:
+    """Rows in conversation order, cut into ranges of similar size whatever a conversation holds."""
+    return rows.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).withColumn("pid", F.spark_partition_id())
+
+
+def ordered(messages: DataFrame) -> DataFrame:
+    return in_ranges(readable(messages))
 
 
 class Run:
@@ -198,48 +209,89 @@ def calibrated_gap(found: DataFrame, share: float = 0.99, factor: float = 4.0) -
     return int(factor * gap_of_bin(int(np.searchsorted(np.cumsum(counts), share * counts.sum()))))
 
 
+def _mark(who, said) -> int:
+    """A message's speaker and words as 64 bits."""
+    return xxhash.xxh64_intdigest(f"{who}\0{said}") - (1 << 63)
+
+
+def _starts(found: DataFrame) -> DataFrame:
+    """pid, conversation_id, mark and time of the message before, for every partition that continues a conversation."""
+    fields = ["pid", "rows", "last_role", "last_text", "last_ms"]
+    parts = found.filter("rows > 0").select("conversation_id", F.struct(*fields).alias("p"))
+    crossing = parts.groupBy("conversation_id").agg(F.sort_array(F.collect_list("p")).alias("p")).filter(F.size("p") > 1)
+
+    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for cid, ps in zip(pdf["conversation_id"], pdf["p"]):
+                us = None
+                for before, now in zip(ps, ps[1:]):
+                    us = before["last_ms"] if before["last_ms"] is not None else us
+                    out.append((int(now["pid"]), cid, _mark(before["last_role"], before["last_text"]), us))
+            yield pd.DataFrame(out, columns=["pid", "conversation_id", "mark", "us"]).astype({"us": "Int64"})
+
+    return crossing.mapInPandas(chain, "pid int, conversation_id string, mark long, us long")
+
+
 def rebuild(messages: DataFrame, gap_us: int | None = None) -> DataFrame:
     """The good conversations: conversation_id, session_no, turn_no, role, content, message_id, created_us.
 
-    The number of rows before a partition's run of a conversation comes from the summaries; only
-    conversations that cross a partition's edge have any, so that table holds fewer rows than there are
-    partitions and is broadcast.
+    Repeats are dropped first, also where the first copy ended the partition before; turn_no counts what is kept
+    of a conversation. Silences over the gap cut it into sessions, and a session without a user message that is
+    answered (by words, later in it) is dropped; its numbers stay free.
+
+    What a partition needs to know of the one before (the last message's mark and time, the number of turns and
+    sessions so far) is one row for each partition that continues a conversation. These rows are broadcast:
+    there are fewer of them than partitions, all of which the driver tracks anyway.
     """
-    rows = settle(ordered(messages).filter("who <> 's'").dropDuplicates(["conversation_id", "us", "message_id"]).repartitionByRange("conversation_id", "us", "message_id").sortWithinPartitions("conversation_id", "us", "message_id").withColumn("pid", F.spark_partition_id()))
+    spark = messages.sparkSession
+    rows = settle(in_ranges(readable(messages).filter("who <> 's'").dropDuplicates(ORDER)))
     found = settle(summaries(rows))
     gap = calibrated_gap(found) if gap_us is None else gap_us
+    before_of = {r["pid"]: (r["conversation_id"], r["mark"], r["us"]) for r in _starts(found).collect()}
+    held = spark.sparkContext.broadcast(before_of)
 
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cid, n, s, before = None, 0, 0, None
+        cid = before = told = None
+        n = s = 0
+        fresh = True
         for pdf in batches:
-            turns, sessions, twice = [], [], []
-            for c, who, said, us in zip(pdf["conversation_id"], pdf["who"], pdf["said"], pdf["us"]):
+            turns, sessions, keep = [], [], []
+            for c, who, said, us, pid in zip(pdf["conversation_id"], pdf["who"], pdf["said"], pdf["us"], pdf["pid"]):
                 if c != cid:
                     cid, n, s, before, told = c, 0, 0, None, None
-                if before is not None and gap and us - before > gap:
+                    if fresh and (start := held.value.get(int(pid))) is not None and start[0] == c:
+                        told, before = start[1], start[2]
+                    fresh = False
+                us = None if us is None or us != us else int(us)
+                if before is not None and us is not None and gap and us - before > gap:
                     s += 1
-                twice.append(told == (who, said))
-                told, before = (who, said), us
+                mark = _mark(who, said)
+                again = told == mark
+                told, before = mark, us if us is not None else before
                 turns.append(n)
                 sessions.append(s)
-                n += 1
-            yield pdf.assign(turn=turns, session=sessions, again=twice)
-
-    local = rows.mapInPandas(number, T.StructType([*rows.schema.fields, T.StructField("turn", T.LongType()), T.StructField("session", T.LongType()), T.StructField("again", T.BooleanType())]))
-    ends = local.groupBy("conversation_id", "pid").agg(F.max("turn").alias("t"), F.max("session").alias("s"), F.min("us").alias("from_us"), F.max("us").alias("to_us"))
-    crossing = ends.join(ends.groupBy("conversation_id").count().filter("count > 1"), "conversation_id", "left_semi")
-    parts = crossing.groupBy("conversation_id").agg(F.sort_array(F.collect_list(F.struct("pid", "t", "s", "from_us", "to_us"))).alias("p"))
-    i = F.col("i")
-    earlier = F.slice("p", F.lit(1), i)
-    begun = F.size(F.filter(F.sequence(F.lit(1), F.greatest(i, F.lit(1))), lambda k: (k <= i) & (F.get("p", k)["from_us"] - F.get("p", k - 1)["to_us"] > gap)))
+                keep.append(not again)
+                n += not again
+            yield pdf.assign(turn=turns, session=sessions)[keep]
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("turn", T.LongType()), T.StructField("session", T.LongType())])
+    good = judge(found).filter("defect is null").select("conversation_id")
+    local = settle(rows.mapInPandas(number, schema).join(good, "conversation_id", "left_semi"))
+    ends = local.groupBy("conversation_id", "pid").agg(F.count("*").alias("t"), F.max("session").alias("s"))
+    parts = ends.groupBy("conversation_id").agg(F.sort_array(F.collect_list(F.struct("pid", "t", "s"))).alias("p")).filter(F.size("p") > 1)
+    earlier = F.slice("p", F.lit(1), F.col("i"))
     edges = parts.select("conversation_id", "p", F.posexplode("p").alias("i", "x")).select(
         "conversation_id", F.col("x.pid").alias("pid"),
-        F.aggregate(earlier, F.lit(0).cast("long"), lambda a, x: a + x["t"] + 1).alias("turns"),
-        (F.aggregate(earlier, F.lit(0).cast("long"), lambda a, x: a + x["s"]) + (begun if gap else F.lit(0))).alias("sessions"),
+        F.aggregate(earlier, F.lit(0).cast("long"), lambda a, x: a + x["t"]).alias("turns"),
+        F.aggregate(earlier, F.lit(0).cast("long"), lambda a, x: a + x["s"]).alias("sessions"),
     ).filter("turns > 0")
-    good = judge(found).filter("defect is null").select("conversation_id")
-    placed = local.join(F.broadcast(edges), ["conversation_id", "pid"], "left").join(good, "conversation_id", "left_semi")
-    return placed.filter("not again").select(
+    placed = local.join(F.broadcast(edges), ["conversation_id", "pid"], "left").select(
         "conversation_id", (F.col("session") + F.coalesce("sessions", F.lit(0))).alias("session_no"), (F.col("turn") + F.coalesce("turns", F.lit(0))).alias("turn_no"),
         F.when(F.col("who") == "u", "user").otherwise("assistant").alias("role"), F.col("said").alias("content"), "message_id", F.col("us").alias("created_us"),
     )
+    # A session is answered if its first user message stands before its last answer.
+    answer = (F.col("role") == "assistant") & (F.col("content") != "")
+    sessions = placed.groupBy("conversation_id", "session_no").agg(F.min(F.when(F.col("role") == "user", F.col("turn_no"))).alias("asked"), F.max(F.when(answer, F.col("turn_no"))).alias("answered"))
+    idle = sessions.filter(F.coalesce(F.col("answered") < F.col("asked"), F.lit(True))).select("conversation_id", "session_no")
+    return placed.join(idle, ["conversation_id", "session_no"], "left_anti")

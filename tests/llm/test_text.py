@@ -175,6 +175,34 @@ def test_conversations(spark):
     assert C.defects(df.limit(0)).count() == 0
 
 
+def test_rebuild_repeats_and_sessions(spark):
+    """Every message twice over many partitions, and sessions without an answer."""
+    import datetime as dt
+
+    t0 = dt.datetime(2024, 1, 1)
+    rows = []
+    for k in range(400):
+        for twice in range(2):
+            rows.append(("big", 2 * k + twice, ["user", "assistant"][k % 2], f"m{k}", t0 + dt.timedelta(seconds=2 * k + twice)))
+    day = dt.timedelta(days=1)
+    for i, (role, said) in enumerate([("user", "a"), ("assistant", "b"), ("user", "c"), ("assistant", "d"), ("assistant", "e"), ("user", "f"), ("assistant", "g")]):
+        # The answer d comes a day after its question; e and g belong to their own sessions.
+        rows.append(("cut", 9000 + i, role, said, t0 + day * (0, 0, 1, 2, 2, 3, 3)[i]))
+    df = spark.createDataFrame(rows, "conversation_id string, message_id long, role string, content string, created_at timestamp_ntz").repartition(5)
+    old = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = C.rebuild(df, gap_us=3_600_000_000).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old[1])
+    big = sorted((r for r in got if r.conversation_id == "big"), key=lambda r: r.turn_no)
+    assert [r.turn_no for r in big] == list(range(400)) and [r.content for r in big] == [f"m{k}" for k in range(400)]
+    cut = [(r.session_no, r.turn_no, r.content) for r in got if r.conversation_id == "cut"]
+    assert sorted(cut) == [(0, 0, "a"), (0, 1, "b"), (3, 5, "f"), (3, 6, "g")]
+
+
 PIECES = ["é", " ", "  ", "\n", "'re", "'", "r", "e", "word", "123", "!!", "😀", "\t", "don't", "<|endoftext|>"]
 
 
