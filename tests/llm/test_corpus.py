@@ -225,6 +225,26 @@ def test_subjects(spark):
     assert U.subjects_of(df, ex.limit(0)).count() == 0
 
 
+def test_subjects_by_metadata(spark):
+    """Titles that name the subject teach what few examples cannot; held-out accuracy with them and without."""
+    examples, docs, truth = _corpus(9, 400)
+    few = {}
+    for s, t in examples:
+        few.setdefault(s, (s, t))
+    ex = spark.createDataFrame(list(few.values()), "subject string, text string")
+    main = {i: max((s for j, s in truth if j == i), key=lambda s: docs[i][1].count(s)) for i, _ in docs}
+    df = spark.createDataFrame([(i, t, f"Caderno de {main[i]} {i}") for i, t in docs], "doc_id long, text string, title string")
+    model = U.fitted(df, ex)
+    assert model.told >= 300 and U.fitted(df, ex, metadata=False).told == 0
+    hits = {m: len({(r.doc_id, r.subject) for r in U.subjects_of(df, ex, metadata=m).collect()} & truth) / len(truth) for m in (True, False)}
+    assert hits[True] >= 0.95 and hits[True] >= hits[False] - 0.01
+
+
+def test_features_at_once():
+    lines = ["A casa azul fica longe.", "", "Sim", "a casa azul fica longe", "O rio é fundo e a casa azul"]
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(U.features_of(lines), [U.features(x) for x in lines]))
+
+
 def test_garbled_hyphen_sign_stays():
     bad = G._decode("A avaliação da coordenação".encode("cp1252"), "cp850")
     assert G.examine(bad + " e exce¬\nto")[1].endswith("exce¬\nto")
