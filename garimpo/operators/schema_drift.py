@@ -4,7 +4,10 @@ Each file gets a schema fingerprint (normalised names with the narrowest type of
 compared with the one of the preceding month of its series; the differences are its migration steps (rename,
 add, remove, cast). Steps are chained by following every column back to the file where it first appeared, in
 a number of joins that is logarithmic in the length of a series, so that no series is gathered in one task.
-Files are routed through their chained steps into canonical names and values.
+Over the series of a family, the names under which columns first appear are put together by the renames of all
+series (never two that stand in one file), and each group takes its most frequent name. What results is a
+table of versions: fingerprint, rename rules, cast rules (the narrowest type that fits all files of the family)
+and defaults for missing columns. Files are routed through the rules of their version into one table a family.
 
 Defined cases: re-delivered files (same extraction id) count once; files without series or month are left
 out; two files of one month are both compared with the month before; a file without records has no types and
@@ -229,31 +232,132 @@ def lineage(files: DataFrame) -> DataFrame:
     return links.select("extraction_id", "column", F.coalesce("to_column", "column").alias("root"))
 
 
-def unified(df: DataFrame) -> DataFrame:
-    """One long table: family, series_id, reference_month, extraction_id, row_index, fields (canonical names and values)."""
-    files = settle(described(df))
-    names = lineage(files).groupBy("extraction_id").agg(F.map_from_entries(F.collect_list(F.struct("column", "root"))).alias("roots"))
+def canonical_names(files: DataFrame, roots: DataFrame) -> DataFrame:
+    """family, root, canonical: one name for the columns of all series of a family.
+
+    What is gathered for a family are its distinct names and pairs of names, not its files.
+    """
+    told = files.select("extraction_id", "family").join(roots, "extraction_id")
+    own = told.groupBy("family", "root").agg(F.count("*").alias("n")).select("family", F.lit("name").alias("kind"), F.col("root").alias("a"), F.lit("").alias("b"), "n")
+    also = told.filter("column <> root").groupBy("family", "root", "column").agg(F.count("*").alias("n")).select("family", F.lit("link").alias("kind"), F.col("root").alias("a"), F.col("column").alias("b"), "n")
+    sets = told.groupBy("extraction_id", "family").agg(F.array_sort(F.collect_set("root")).alias("r"))
+    pairs = F.flatten(F.transform("r", lambda x: F.transform(F.filter("r", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    apart = sets.select("family", F.explode(pairs).alias("p")).groupBy("family", "p.a", "p.b").agg(F.count("*").alias("n")).select("family", F.lit("apart").alias("kind"), "a", "b", "n")
+
+    def group(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = dict(pdf[pdf.kind == "name"][["a", "n"]].values)
+        never = {frozenset(x) for x in pdf[pdf.kind == "apart"][["a", "b"]].values}
+        groups = {x: {x} for x in names}
+        for _, a, b in sorted((-n, a, b) for a, b, n in pdf[pdf.kind == "link"][["a", "b", "n"]].values):
+            if b in groups and groups[a] is not groups[b] and not any(frozenset((x, y)) in never for x in groups[a] for y in groups[b]):
+                groups[a] |= groups[b]
+                for x in groups[a]:
+                    groups[x] = groups[a]
+        best = {x: min(g, key=lambda y: (-names[y], y)) for x, g in groups.items()}
+        return pd.DataFrame({"family": pdf["family"].iloc[0], "root": list(best), "canonical": list(best.values())})
+
+    return own.unionByName(also).unionByName(apart).groupBy("family").applyInPandas(group, "family string, root string, canonical string")
+
+
+def family_type(types: set[str]) -> str:
+    """The narrowest type that holds all of them."""
+    return next(iter(types)) if len(types) == 1 else "decimal" if types and types <= {"integer", "decimal"} else "text"
+
+
+@F.udf(T.StringType())
+def family_type_udf(types):
+    return family_type(set(types or []))
+
+
+class Rules:
+    """Versions of all families, settled: ``files`` (extraction_id, version_key) and ``table``.
+
+    defaults: canonical name -> text for a column that a version lacks; null otherwise.
+    """
+
+    def __init__(self, df: DataFrame, defaults: dict[str, str] | None = None):
+        described_files = settle(described(df))
+        roots = lineage(described_files)
+        names = canonical_names(described_files, roots)
+        cells = described_files.select("extraction_id", "family", F.explode(F.arrays_zip("columns", "types")).alias("x")).select("extraction_id", "family", F.col("x.columns").alias("column"), F.col("x.types").alias("type"))
+        placed = settle(cells.join(roots, ["extraction_id", "column"]).join(names, ["family", "root"]))
+        kinds = placed.groupBy("family", "canonical").agg(F.collect_set("type").alias("t")).select("family", "canonical", family_type_udf("t").alias("type"))
+        # A family's distinct columns, not its files.
+        self.columns = settle(kinds)
+        every = self.columns.groupBy("family").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("canonical", "type")))).alias("casts"))
+        routes = placed.groupBy("extraction_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("column", "canonical")))).alias("renames"))
+        keyed = described_files.join(routes, "extraction_id", "left").withColumn("renames", F.coalesce("renames", F.expr("map()").cast("map<string,string>")))
+        keyed = keyed.withColumn("version_key", F.sha2(F.concat_ws("|", F.coalesce("family", F.lit("")), "fingerprint", F.to_json("renames")), 256))
+        self.files = settle(keyed.select("extraction_id", "family", "reference_month", "version_key", "fingerprint", "renames"))
+        table = self.files.groupBy("family", "version_key").agg(F.min("reference_month").alias("first_month"), F.count("*").alias("files"), F.first("fingerprint").alias("fingerprint"), F.first("renames").alias("renames")).join(every, "family", "left")
+        missing = F.filter(F.map_keys("casts"), lambda c: ~F.array_contains(F.map_values("renames"), c))
+        given = F.create_map(*[F.lit(x) for kv in (defaults or {}).items() for x in kv]).cast("map<string,string>") if defaults else F.expr("map()").cast("map<string,string>")
+        table = table.withColumn("defaults", F.map_from_arrays(missing, F.transform(missing, lambda c: F.element_at(given, c))))
+        number = F.row_number().over(Window.partitionBy("family").orderBy("first_month", "version_key"))
+        self.table = settle(table.withColumn("version", number))
+
+
+def version_rules(df: DataFrame, defaults: dict[str, str] | None = None) -> DataFrame:
+    """The table of versions: family, version, first_month, files, fingerprint, renames, casts, defaults."""
+    return Rules(df, defaults).table.select("family", "version", "first_month", "files", "fingerprint", "renames", "casts", "defaults")
+
+
+def cast_value(v: str | None, kind: str) -> str | None:
+    """The canonical form of a cell if it is of the type, else None."""
+    c = canonical(v)
+    if c is None or kind == "text":
+        return c
+    raw = value(v)
+    fits = {"integer": INTEGER.fullmatch, "decimal": DECIMAL.fullmatch, "date": _date, "boolean": lambda x: _bare(x).lower() in TRUE | FALSE}[kind]
+    return c if fits(raw) else None
+
+
+def unified(df: DataFrame, defaults: dict[str, str] | None = None, rules: Rules | None = None) -> DataFrame:
+    """One long table: family, series_id, reference_month, extraction_id, row_index, version, fields, misfits.
+
+    fields: canonical names, with values in canonical form and of the family's type; columns that the file lacks
+    have their default. misfits: values that are not of the type, so that none is lost.
+    """
+    rules = rules or Rules(df, defaults)
+    routes = rules.files.select("extraction_id", "version_key").join(rules.table.select("version_key", "version", "renames", "casts", "defaults"), "version_key").drop("version_key")
     keep = df.filter("extraction_id is not null and series_id is not null and reference_month is not null").dropDuplicates(["extraction_id"])
-    rows = keep.select("extraction_id", "series_id", "family", "reference_month", F.explode("records").alias("r")).join(names, "extraction_id")
-    rows = rows.select("family", "series_id", "reference_month", "extraction_id", F.col("r.row_index").alias("row_index"), F.col("r.fields").alias("fields"), "roots")
-    schema = T.StructType([f for f in rows.schema if f.name != "roots"])
+    rows = keep.select("extraction_id", "series_id", "family", "reference_month", "records").join(routes, "extraction_id").withColumn("r", F.explode("records"))
+    rows = rows.select("family", "series_id", "reference_month", "extraction_id", F.col("r.row_index").alias("row_index"), "version", F.col("r.fields").alias("fields"), "renames", "casts", "defaults")
+    schema = T.StructType([*[f for f in rows.schema if f.name not in ("renames", "casts", "defaults")], T.StructField("misfits", T.MapType(T.StringType(), T.StringType()))])
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names: dict[str, str] = {}
         for pdf in batches:
-            out = []
-            for fields, roots in zip(pdf["fields"], pdf["roots"]):
-                made, roots = {}, dict(roots)
+            out, odd = [], []
+            for fields, renames, casts, missing in zip(pdf["fields"], pdf["renames"], pdf["casts"], pdf["defaults"]):
+                made, left, renames, casts = {}, {}, dict(renames), dict(casts) if casts is not None else {}
                 for k, v in dict(fields if fields is not None else {}).items():
-                    name = roots.get(column_name(k))
-                    if name and made.get(name) is None:
-                        made[name] = canonical(v)
+                    if k not in names:
+                        names[k] = column_name(k)
+                    name = renames.get(names[k])
+                    if not name or made.get(name) is not None:
+                        continue
+                    made[name] = cast_value(v, casts.get(name, "text"))
+                    if made[name] is None and (c := canonical(v)) is not None:
+                        left[name] = c
+                for k, v in dict(missing if missing is not None else {}).items():
+                    made.setdefault(k, v)
                 out.append(made)
-            yield pdf.drop(columns="roots").assign(fields=out, row_index=pdf["row_index"].astype("Int32"))
+                odd.append(left)
+            yield pdf.drop(columns=["renames", "casts", "defaults"]).assign(fields=out, row_index=pdf["row_index"].astype("Int32"), misfits=odd)
 
     return rows.mapInPandas(route, schema)
 
 
-def family_table(df: DataFrame, family: str, columns: dict[str, str]) -> DataFrame:
-    """The unified rows of one family as a wide table; columns: canonical name -> Spark type."""
-    rows = unified(df).filter(F.col("family") == family)
-    return rows.select("series_id", "reference_month", "extraction_id", "row_index", *[F.expr(f"try_cast(fields['{c}'] AS {t})").alias(c) for c, t in columns.items()])
+SPARK_TYPES = {"integer": "bigint", "decimal": "double", "date": "date", "boolean": "boolean", "text": "string"}
+
+
+def family_table(df: DataFrame, family: str, defaults: dict[str, str] | None = None) -> DataFrame:
+    """All files of one family as one wide table with typed columns."""
+    own = df.filter(F.col("family") == family)
+    rules = Rules(own, defaults)
+    # The family's distinct columns.
+    columns = sorted((r["canonical"], SPARK_TYPES[r["type"]]) for r in rules.columns.collect())
+    fixed = ("series_id", "reference_month", "extraction_id", "row_index", "version")
+    named = [F.expr(f"try_cast(fields['{c}'] AS {t})").alias(c if c not in fixed else f"{c}_") for c, t in columns]
+    return unified(own, rules=rules).select(*fixed, *named)

@@ -59,10 +59,36 @@ def test_schema_drift(spark):
         (4, "removed", "pedido", ""), (4, "removed", "preco", ""), (4, "removed", "nota", ""),
     }
     rows = D.unified(df).filter("series_id = 's1'").collect()
-    assert len(rows) == 36 and {k for r in rows for k in r.fields} == {"id_venda", "valor_total", "ativo", "obs", "nota"}
+    assert len(rows) == 36 and {k for r in rows for k, v in r.fields.items() if v is not None} == {"id_venda", "valor_total", "ativo", "obs", "nota"}
+    assert all("a" in r.fields for r in rows)  # a column of the family that the series lacks
     assert {r.fields["id_venda"] for r in rows if r.extraction_id == 3} == set(ids)
     history = {r.extraction_id: r.version for r in D.versions(df).filter("series_id = 's1'").collect()}
     assert history == {1: 1, 2: 2, 3: 3, 4: 4}
     assert D.found_changes(df.limit(0)).count() == 0
-    wide = D.family_table(df, "f", {"valor_total": "double"}).filter("extraction_id = 2").agg({"valor_total": "max"}).first()[0]
-    assert wide == 11.5
+    wide = D.family_table(df, "f").filter("extraction_id = 2")
+    assert dict(wide.dtypes)["valor_total"] == "double" and wide.agg({"valor_total": "max"}).first()[0] == 11.5
+
+
+def test_family_over_series(spark):
+    """Series that begin with different spellings of a column come into one; a name used anew does not."""
+    ids = [str(7000 + i) for i in range(12)]
+    x = [(i, str(100 + k)) for k, i in enumerate(ids)]
+    y = [(i, f"{100 + k},5", "a") for k, i in enumerate(ids)]
+    files = [
+        _file(1, "2024-01", ["id", "preco"], x), _file(2, "2024-02", ["id", "valor"], x),  # preco becomes valor
+        _file(3, "2024-01", ["id", "valor", "nota"], y, "s2"),  # begins as valor
+        _file(4, "2024-03", ["id", "nota", "obs"], [(i, "t", "x-1") for i in ids], "s3"), _file(5, "2024-04", ["id", "nota"], [(i, "t") for i in ids], "s3"),
+    ]
+    df = spark.createDataFrame(files, FIELDS)
+    wide = D.family_table(df, "f", {"nota": "sem"})
+    assert set(wide.columns) - {"series_id", "reference_month", "extraction_id", "row_index", "version"} in ({"id", "preco", "nota", "obs"}, {"id", "valor", "nota", "obs"})
+    price = "valor" if "valor" in wide.columns else "preco"
+    kinds = dict(wide.dtypes)
+    assert kinds["id"] == "bigint" and kinds[price] == "double"
+    rows = wide.collect()
+    assert len(rows) == 60 and sum(r[price] is not None for r in rows) == 36 and {r.nota for r in rows if r.extraction_id == 1} == {"sem"}
+    rules = {r.version: r for r in D.version_rules(df).collect()}
+    assert len(rules) == 5 and all(r.casts["id"] == "integer" for r in rules.values())
+    bad = spark.createDataFrame([_file(1, "2024-01", ["id", "n"], [(i, str(k)) for k, i in enumerate(ids[:11])] + [("7011", "n/a x")])], FIELDS)
+    assert [r.misfits for r in D.unified(bad).collect() if r.misfits] == [{"n": "n/a x"}]
+    assert D.unified(df.limit(0)).count() == 0
