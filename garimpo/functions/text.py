@@ -38,7 +38,7 @@ CONTEXT_MARKS = (
     r"(?is)<\s*system\s*>.*?<\s*/\s*system\s*>", r"(?is)\[INST\].*?\[/INST\]",
 )
 PAGE_MARKS = (
-    r"\(Baixado por [^\n)]+\)\s*", r"P[áa]gina\s+\d+\s+de\s+\d+\s*", r"Classifica[çc][ãa]o da Informa[çc][ãa]o:\s*\w+\s*", r"<!--\s*image\s*-->\s*",
+    r"^[^\n]{0,200}(?:Nº/Rev\.:|N°/Rev\.:)[^\n]*Este documento faz parte[^\n]*\n?", r"\(Baixado por [^\n)]+\)\s*", r"P[áa]gina\s+\d+\s+de\s+\d+\s*", r"Classifica[çc][ãa]o da Informa[çc][ãa]o:\s*\w+\s*", r"<!--\s*image\s*-->\s*",
 )
 
 
@@ -65,6 +65,11 @@ def compact(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"[ \t\r\n]+", " "))
 
 
+def words(c: Column) -> Column:
+    """Words of plain letters and digits, in order."""
+    return F.filter(F.split(norm_text(c), " "), lambda w: w != "")
+
+
 def tokens(c: Column, stop: list[str] | None = None) -> Column:
     """Words without stop words and single characters, in order."""
     words = F.split(norm_text(c), " ")
@@ -79,7 +84,7 @@ def keywords(c: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: w.rlike(r"^\d+$|^[ivxlcdm]{1,8}$") | ((F.length(w) >= 3) & ~F.array_contains(off, w))))
 
 
-ABBREVIATIONS = r"(?i)(?<![\p{L}\p{N}_])(Art|Inc|Sr|Sra|Dr|Dra|Prof|Ltda|Jr|n|p|fl|fls|vol|ed|etc|ex)\."
+ABBREVIATIONS = r"(?i)(?<![\p{L}\p{N}_])(Art|Inc|Sr|Sra|Dr|Dra|Prof|Ltda|S\.A|Jr|n|p|fl|fls|vol|ed|etc|ex)\."
 
 
 def sentences(c: Column) -> Column:
@@ -91,7 +96,7 @@ def sentences(c: Column) -> Column:
 
 def strip_page_marks(c: Column) -> Column:
     for p in PAGE_MARKS:
-        c = F.regexp_replace(c, f"(?i){p}", "")
+        c = F.regexp_replace(c, f"(?im){p}", "")
     return F.trim(F.regexp_replace(c, r"\n{3,}", "\n\n"))
 
 
@@ -112,15 +117,15 @@ def let(value: Column, body) -> Column:
 
 def unique_blocks(c: Column, sep: str = "\n\n", least: int = 40) -> Column:
     """Blocks of at least ``least`` characters only at their first place; case and blanks do not matter."""
-    pairs = F.transform(F.split(c, sep), lambda b: F.struct(b.alias("b"), F.when(F.length(F.trim(b)) >= least, F.lower(compact(b))).alias("k")))
-    # Kept blocks and seen keys grow side by side: one walk over the blocks.
-    step = lambda a, x: F.when(
-        x["k"].isNull(), F.struct(F.array_append(a["kept"], x["b"]).alias("kept"), a["seen"].alias("seen"))
-    ).when(
-        F.array_contains(a["seen"], x["k"]), a
-    ).otherwise(F.struct(F.array_append(a["kept"], x["b"]).alias("kept"), F.array_append(a["seen"], x["k"]).alias("seen")))
-    none = F.array().cast("array<string>")
-    return F.array_join(F.aggregate(pairs, F.struct(none.alias("kept"), none.alias("seen")), step, lambda a: a["kept"]), sep)
+    # Sorted by key, a block repeats if it has the key of the one before; sorted by place, what is left is the text.
+    keyed = F.array_sort(F.transform(F.split(c, sep), lambda b, i: F.struct(F.when(F.length(F.trim(b)) >= least, F.lower(compact(b))).alias("k"), i.alias("i"), b.alias("b"))))
+
+    def kept(s: Column) -> Column:
+        again = lambda x, j: x["k"].isNotNull() & (j > 0) & F.coalesce(F.get(s, j - 1)["k"] == x["k"], F.lit(False))
+        marked = F.transform(s, lambda x, j: F.struct(x["i"].alias("i"), x["b"].alias("b"), again(x, j).alias("again")))
+        return F.transform(F.array_sort(F.filter(marked, lambda x: ~x["again"])), lambda x: x["b"])
+
+    return F.array_join(let(keyed, kept), sep)
 
 
 def tidy(c: Column) -> Column:

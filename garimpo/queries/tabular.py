@@ -9,7 +9,8 @@ from garimpo.functions import numbers as N
 from garimpo.functions import text as X
 from garimpo.plans import compiler, planner, semantics
 from garimpo.plans.model import Filter, Plan
-from garimpo.queries.registry import Registry, sql_norm
+from garimpo.operators import routing as Q
+from garimpo.queries.registry import Registry, sql_match, sql_norm
 from garimpo.session import table
 
 R = Registry()
@@ -262,40 +263,31 @@ def pricing_summary(spark, sf):
     return li.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_base"), F.round(F.sum(net), 2).alias("sum_disc"), F.round(F.sum(net * (1 + F.col("l_tax"))), 2).alias("sum_charge"), F.round(F.avg("l_quantity"), 4).alias("avg_qty"), F.round(F.avg("l_discount"), 4).alias("avg_disc"), F.count("*").alias("n"))
 
 
-_QUESTIONS = ["Qual o codigo 10101039?", "O exame tem emergencia sim?", "Cobertura hospitalar para parto", "Como funciona o plano?", "Item 55123 vigente", "Emergência não se aplica"]
+_Q = "SELECT DISTINCT content AS question, " + sql_match("content") + " AS q FROM messages WHERE content IS NOT NULL"
+_CODE, _ANY, _FLAG, _COVER = "\\bcodigo\\s+(\\d{5,})\\b", "\\b(\\d{5,})\\b", "\\bemergencia\\s+(sim|nao)\\b", "\\bcobertura\\s+([a-z0-9_\\- ]{2,60})\\b"
 
 
-@R.add("""SELECT question, CASE WHEN regexp_matches(q, '\\bcodigo\\s+\\d{5,}\\b') THEN 'structured' WHEN regexp_matches(q, '\\b\\d{5,}\\b') THEN 'structured'
-WHEN regexp_matches(q, '\\bemergencia\\s+(sim|nao)\\b') OR regexp_matches(q, '\\bcobertura\\s+[a-z0-9_\\- ]{2,60}\\b') THEN 'hybrid' ELSE 'vector' END AS route,
-CASE WHEN regexp_matches(q, '\\bcodigo\\s+\\d{5,}\\b') THEN 0.95 WHEN regexp_matches(q, '\\b\\d{5,}\\b') THEN 0.9 WHEN regexp_matches(q, '\\bemergencia\\s+(sim|nao)\\b') OR regexp_matches(q, '\\bcobertura\\s+[a-z0-9_\\- ]{2,60}\\b') THEN 0.8 ELSE 0.75 END AS confidence
-FROM (SELECT DISTINCT content AS question, """ + "lower(translate(content, '" + X.ACCENTED + "', '" + X.BARE + "')) AS q FROM messages WHERE content IS NOT NULL)")
+@R.add(f"""SELECT question, CASE WHEN regexp_matches(q, '{_ANY}') THEN 'structured' WHEN regexp_matches(q, '{_FLAG}') OR regexp_matches(q, '{_COVER}') THEN 'hybrid' ELSE 'vector' END AS route,
+CASE WHEN regexp_matches(q, '{_CODE}') THEN 0.95 WHEN regexp_matches(q, '{_ANY}') THEN 0.9 WHEN regexp_matches(q, '{_FLAG}') OR regexp_matches(q, '{_COVER}') THEN 0.8 ELSE 0.75 END AS confidence,
+coalesce(nullif(regexp_extract(q, '{_CODE}', 1), ''), regexp_extract(q, '{_ANY}', 1)) AS codigo, trim(regexp_extract(q, '{_COVER}', 1)) AS cobertura FROM ({_Q})""")
 def route_questions(spark, sf):
-    q = X.norm_match(F.col("question"))
-    code, any_code = q.rlike(r"\bcodigo\s+\d{5,}\b"), q.rlike(r"\b\d{5,}\b")
-    field = q.rlike(r"\bemergencia\s+(sim|nao)\b") | q.rlike(r"\bcobertura\s+[a-z0-9_\- ]{2,60}\b")
-    rows = table(spark, sf, "messages").filter("content is not null").select(F.col("content").alias("question")).distinct()
-    return rows.select("question", F.when(code | any_code, "structured").when(field, "hybrid").otherwise("vector").alias("route"), F.when(code, 0.95).when(any_code, 0.9).when(field, 0.8).otherwise(0.75).alias("confidence"))
-
-
-_REF = r"\b(?:capitulo|secao|titulo|parte)\s+(?:[ivxlcdm]+|\d{1,4})\b"
-_NOUN = r"\b(?:capitulos?|secao|secoes|titulos?|artigos?)\b"
-_INTENTS = (
-    ("summary_structural", (r"\b(?:resum|sintetiz|explique|descrev|visao\s+(?:geral|executiva))", _REF)),
-    ("count_structural", (r"\b(?:quantos|quantas|numero\s+de|qtd\.?)\b", _NOUN)),
-    ("list_structural", (r"\b(?:quais|liste|listar|lista|relacione)\b", _NOUN)),
-    ("locate_structural", (r"\b(?:onde\s+esta|onde\s+fica|ultimo|ultima|primeiro|primeira)\b", _NOUN)),
-    ("comparison", (r"\b(?:compar\w*|diferenca\s+entre|versus|vs\.?)\b", _REF)),
-    ("question_structural", (_REF,)),
-)
-
-
-@R.add("SELECT question, CASE " + " ".join("WHEN " + " AND ".join(f"regexp_matches(q, '{p}')" for p in ps) + f" THEN '{n}'" for n, ps in _INTENTS) + " ELSE 'question_factual' END AS intent FROM (SELECT DISTINCT content AS question, lower(translate(content, '" + X.ACCENTED + "', '" + X.BARE + "')) AS q FROM messages WHERE content IS NOT NULL)")
+    rows = table(spark, sf, "messages").filter("content is not null").select(F.col("content").alias("question")).distinct().withColumn("r", Q.route(F.col("question")))
+    found = lambda k: F.coalesce(F.try_element_at("r.filters", F.lit(k)), F.lit(""))
+    return rows.select("question", "r.route", "r.confidence", found("codigo").alias("codigo"), found("cobertura").alias("cobertura"))
+
+
+_REF = "\\b(?:capitulo|secao|titulo|parte)\\s+(?:[ivxlcdm]+|\\d{1,4})\\b"
+_NOUN = "\\b(?:capitulo|capitulos|secao|secoes|titulo|titulos|artigo|artigos)\\b"
+_TWO = " + ".join(f"regexp_matches(q, '\\b{u}\\s+([ivxlcdm]+|\\d{{1,4}})\\b')::INT" for u in ("titulo", "capitulo", "secao", "subsecao")) + " + regexp_matches(q, '\\bart(?:igo)?\\.?\\s*[0-9]{1,4}')::INT"
+
+
+@R.add(f"""SELECT question, CASE WHEN regexp_matches(q, '\\b(resum|sintetiz|explique|descrev|visao\\s+(geral|executiva))') AND regexp_matches(q, '{_REF}') THEN 'summary_structural'
+WHEN regexp_matches(q, '\\b(quantos|quantas|numero\\s+de|qtd\\.?)\\b') AND regexp_matches(q, '{_NOUN}') THEN 'count_structural'
+WHEN regexp_matches(q, '\\b(quais|liste|listar|lista|relacione)\\b') AND regexp_matches(q, '{_NOUN}') THEN 'list_structural'
+WHEN regexp_matches(q, '\\b(onde\\s+esta|onde\\s+fica|ultimo|ultima|primeiro|primeira)\\b') AND regexp_matches(q, '{_NOUN}') THEN 'locate_structural'
+WHEN regexp_matches(q, '\\b(tem|possui|contem|inclui|ha|existe|existem)\\b') AND {_TWO} >= 2 THEN 'contains_structural'
+WHEN regexp_matches(q, '\\b(compar\\w*|diferenca\\s+entre|versus|vs\\.?)\\b') AND regexp_matches(q, '{_REF}') THEN 'comparison'
+WHEN regexp_matches(q, '{_REF}') AND regexp_matches(q, 'capitulo|secao|artigo|titulo|inciso|paragrafo') AND len(regexp_split_to_array(trim(question), '\\s+')) <= 6 THEN 'locate_excerpt'
+WHEN regexp_matches(q, '{_REF}') THEN 'question_structural' ELSE 'question_factual' END AS intent FROM ({_Q})""")
 def classify_intents(spark, sf):
-    q = X.norm_match(F.col("question"))
-    intent = F.lit("question_factual")
-    for name, patterns in reversed(_INTENTS):
-        test = F.lit(True)
-        for p in patterns:
-            test = test & q.rlike(p)
-        intent = F.when(test, name).otherwise(intent)
-    return table(spark, sf, "messages").filter("content is not null").select(F.col("content").alias("question")).distinct().select("question", intent.alias("intent"))
+    return table(spark, sf, "messages").filter("content is not null").select(F.col("content").alias("question")).distinct().withColumn("intent", Q.intent(F.col("question")))
