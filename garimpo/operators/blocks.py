@@ -48,11 +48,29 @@ def relabelled(rows: DataFrame) -> DataFrame:
     return rows.join(mark, ["doc", "norm"], "left").withColumn("kind", F.when(F.col("again") & (F.col("kind") == "body"), "header").otherwise(F.col("kind"))).drop("again")
 
 
+STRETCH = 512  # places of a document that one window task holds
+
+
+def carried(rows: DataFrame, doc: str, place: str, order: list[str], mark: Column, name: str) -> DataFrame:
+    """rows with the last mark at or before each in its document (null before the first).
+
+    A document may hold a third of all rows, so it is cut into stretches of places: the last mark of each
+    stretch is aggregated, carried on over the small table of stretches, and filled in within the stretch.
+    """
+    cut = rows.withColumn("_s", F.floor(F.coalesce(F.col(place), F.lit(0)) / STRETCH)).withColumn("_m", mark)
+    last = cut.filter("_m is not null").groupBy(doc, "_s").agg(F.max_by("_m", F.struct(*order)).alias("_c"))
+    every = cut.select(doc, "_s").distinct().join(last, [doc, "_s"], "left")
+    before = Window.partitionBy(doc).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    carry = every.withColumn("_b", F.last("_c", ignorenulls=True).over(before)).filter("_b is not null").select(doc, "_s", "_b")
+    within = Window.partitionBy(doc, "_s").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return cut.withColumn("_l", F.last("_m", ignorenulls=True).over(within)).join(carry, [doc, "_s"], "left").withColumn(name, F.coalesce("_l", "_b")).drop("_s", "_m", "_l", "_b")
+
+
 def with_hints(rows: DataFrame) -> DataFrame:
     """Each body block gets the text of the last title or section header before it in its document."""
-    w = Window.partitionBy("doc").orderBy("seq", "block_key").rowsBetween(Window.unboundedPreceding, 0)
     head = F.when(F.col("kind").isin("title", "section_header"), F.trim("text"))
-    return rows.withColumn("hint", F.when(F.col("kind") == "body", F.last(head, ignorenulls=True).over(w)))
+    filled = carried(rows, "doc", "seq", ["seq", "block_key"], head, "hint")
+    return filled.withColumn("hint", F.when(F.col("kind") == "body", F.col("hint")))
 
 
 def paragraphs(rows: DataFrame) -> DataFrame:
@@ -89,6 +107,7 @@ def quality(rows: DataFrame) -> DataFrame:
 
 
 def gate(score: Column, flags: Column, least: float = 0.4) -> Column:
+    score = F.round(score, 3)
     return F.when(score < least, "failed_parse").when((score < least + 0.15) | (F.size(flags) > 0), "needs_review").otherwise("success")
 
 

@@ -49,8 +49,11 @@ def general(texts: DataFrame, key: str, text: str, size: int = 512, overlap: int
     return rows.mapInPandas(run, f"{key} {dict(texts.dtypes)[key]}, chunk_index int, text string")
 
 
-def pack_rows(rows: list[tuple[int, str]], group: int, size: int) -> list[tuple[int, int, int, str]]:
-    """(first row, last row, number, text): up to group rows and size characters; a longer row alone, cut."""
+def pack_rows(rows: list[tuple[int, str]], group: int, size: int, whole: bool = False) -> list[tuple[int, int, int, str]]:
+    """(first row, last row, number, text): up to group rows and size characters; a longer row alone, cut.
+
+    whole: what a longer row has over goes into further chunks, else only its beginning is kept.
+    """
     out: list[tuple[int, int, int, str]] = []
     now: list[tuple[int, str]] = []
 
@@ -62,7 +65,7 @@ def pack_rows(rows: list[tuple[int, str]], group: int, size: int) -> list[tuple[
     for i, t in rows:
         if len(t) > size:
             flush()
-            out.append((i, i, 1, t[:size]))
+            out += [(i, i, 1, t[lo : lo + size]) for lo in range(0, len(t) if whole else 1, size)]
             continue
         if now and (len(now) >= group or sum(len(x) + 1 for _, x in now) + len(t) > size):
             flush()
@@ -71,8 +74,11 @@ def pack_rows(rows: list[tuple[int, str]], group: int, size: int) -> list[tuple[
     return out
 
 
-def tabular(extractions: DataFrame, group: int = 5, size: int = 512, single: bool = False, header: bool = False) -> DataFrame:
-    """extraction_id, row_start, row_end, row_count, text. single: one row a chunk; header: the columns' names first."""
+def tabular(extractions: DataFrame, group: int = 5, size: int = 512, single: bool = False, header: bool = False, whole: bool = False) -> DataFrame:
+    """extraction_id, row_start, row_end, row_count, text. single: one row a chunk; header: the columns' names first; whole: see pack_rows.
+
+    No chunk is larger than size, its header line included.
+    """
     rows = extractions.dropDuplicates(["extraction_id"]).select("extraction_id", F.array_sort(F.transform("records", lambda r: F.struct(r["row_index"].alias("i"), F.coalesce(r["texto_canonico"], F.lit("")).alias("t")))).alias("r"), F.array_join("column_names", " | ").alias("names"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -80,8 +86,9 @@ def tabular(extractions: DataFrame, group: int = 5, size: int = 512, single: boo
             out = []
             for e, records, names in zip(pdf["extraction_id"], pdf["r"], pdf["names"]):
                 lead = f"colunas: {names}\n" if header else ""
-                made = pack_rows([(r["i"], r["t"]) for r in records if r["t"]], 1 if single else group, size)
-                out += [(e, a, b, n, (lead + t)[:size] if single else lead + t) for a, b, n, t in made]
+                lead = lead if len(lead) < size else ""
+                made = pack_rows([(r["i"], r["t"]) for r in records if r["t"]], 1 if single else group, size - len(lead), whole)
+                out += [(e, a, b, n, lead + t) for a, b, n, t in made]
             yield pd.DataFrame(out, columns=["extraction_id", "row_start", "row_end", "row_count", "text"])
 
     return rows.mapInPandas(run, "extraction_id long, row_start int, row_end int, row_count int, text string")

@@ -6,21 +6,39 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def totals(judged: DataFrame, k: int) -> DataFrame:
+    """query_id, relevant, ideal (the best discounted gain at k) of each judged query."""
+    w = Window.partitionBy("query_id").orderBy(F.desc("grade"), "id")
+    top = judged.filter("grade > 0").withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+    ideal = top.groupBy("query_id").agg(F.sum(F.col("grade") / F.log2(F.col("place") + 1)).alias("ideal"))
+    total = judged.groupBy("query_id").agg(F.nullif(F.sum((F.col("grade") > 0).cast("long")), F.lit(0)).alias("relevant"))
+    return total.join(ideal, "query_id", "left")
+
+
+def totals_by_grade(counts: DataFrame, k: int) -> DataFrame:
+    """The same from counts: query_id, grade, n. No query is paired with what it would find."""
+    per = counts.filter("grade > 0 and n > 0").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("grade", "n")), asc=False).alias("g"), F.sum("n").cast("long").alias("relevant"))
+    grades = F.slice(F.flatten(F.transform("g", lambda x: F.array_repeat(x["grade"], F.least(x["n"], F.lit(k)).cast("int")))), 1, k)
+    ideal = F.aggregate(F.transform(grades, lambda g, i: g / F.log2(i + 2)), F.lit(0.0), lambda a, x: a + x)
+    every = counts.select("query_id").distinct()
+    return every.join(per.select("query_id", "relevant", ideal.alias("ideal")), "query_id", "left")
+
+
 def measures(ranked: DataFrame, judged: DataFrame, k: int) -> DataFrame:
     """precision, recall, ndcg, mrr and ap at k of each judged query."""
-    good = judged.filter("grade > 0")
-    total = good.groupBy("query_id").agg(F.count("*").alias("relevant"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("grade"), "id")
-    ideal = good.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).groupBy("query_id").agg(F.sum(F.col("grade") / F.log2(F.col("place") + 1)).alias("ideal"))
     hits = ranked.filter(F.col("rank") <= k).join(judged.select("query_id", "id", "grade"), ["query_id", "id"], "left").withColumn("grade", F.coalesce("grade", F.lit(0)))
+    return scored(hits, totals(judged, k))
+
+
+def scored(hits: DataFrame, totals: DataFrame) -> DataFrame:
+    """The measures of graded hits: query_id, id, rank, grade."""
     rel = (F.col("grade") > 0).cast("int")
     upto = F.sum(rel).over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
-    scored = hits.withColumn("rel", rel).withColumn("upto", upto)
-    sums = scored.groupBy("query_id").agg(
+    sums = hits.withColumn("rel", rel).withColumn("upto", upto).groupBy("query_id").agg(
         F.count("*").alias("n"), F.sum("rel").alias("hit"), F.sum(F.col("grade") / F.log2(F.col("rank") + 1)).alias("dcg"),
         F.min(F.when(F.col("rel") == 1, F.col("rank"))).alias("first"), F.sum(F.col("rel") * F.col("upto") / F.col("rank")).alias("cum"),
     )
-    s = judged.select("query_id").distinct().join(sums, "query_id", "left").join(total, "query_id", "left").join(ideal, "query_id", "left")
+    s = totals.join(sums, "query_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return s.select(
         "query_id", zero(F.col("hit") / F.col("n")).alias("precision"), F.when(F.col("relevant").isNull(), 1.0).otherwise(zero(F.col("hit") / F.col("relevant"))).alias("recall"),

@@ -95,7 +95,9 @@ def set_merge_sources(spark, sf):
     """Structured rows (rank decay) and vector hits in one list, the higher score counts."""
     vs = _vectors(spark, sf)
     q = vs.filter(F.col("id") % 100 == 0).select(F.col("id").alias("query_id"), "label")
-    rows = q.join(vs.select("id", "label"), "label").filter("id <> query_id")
+    # Places over the fifteenth can no longer be among the best: the sixteen lowest ids of a label are enough.
+    first = vs.select("id", "label").withColumn("nth", F.row_number().over(Window.partitionBy("label").orderBy("id"))).filter("nth <= 16").drop("nth")
+    rows = q.join(first, "label").filter("id <> query_id")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("id")) - 1
     structured = rows.select("query_id", "id", V.rank_decay(place).alias("score"))
     both = V.best_of(_hits(spark, sf, 10).select("query_id", "id", "score").unionByName(structured)).withColumn("score", F.round("score", 6))
@@ -286,14 +288,18 @@ def ret_compress(spark, sf):
     return c.select("id", F.when((F.col("chunk_type") == "parent") | (F.size("s") <= 3), F.col("text")).otherwise(F.array_join(F.transform(best, lambda x: x["x"]), " ")).alias("text"))
 
 
-def _judged(spark, sf):
-    """Grades of the vectors for each query: same label 2, next label 1."""
+def _graded(spark, sf, hits):
+    """Measures of hits by labels: the same label is grade 2, the next one 1. Only hits are paired; totals come from counts."""
     vs = _vectors(spark, sf).select("id", "label")
     q = vs.filter(F.col("id") % 100 == 0).select(F.col("id").alias("query_id"), F.col("label").alias("q_label"))
-    # At most two labels a query: an equi-join on the label.
-    same = q.withColumn("label", F.col("q_label")).join(vs, "label").filter("id <> query_id").select("query_id", "id", F.lit(2).alias("grade"))
-    near = q.withColumn("label", F.col("q_label") + 1).join(vs, "label").select("query_id", "id", F.lit(1).alias("grade"))
-    return same.unionByName(near)
+    n = vs.groupBy("label").agg(F.count("*").alias("n"))
+    same = q.join(n.withColumnRenamed("label", "q_label"), "q_label").select("query_id", F.lit(2).alias("grade"), (F.col("n") - 1).alias("n"))
+    near = q.join(n.select((F.col("label") - 1).alias("q_label"), "n"), "q_label").select("query_id", F.lit(1).alias("grade"), "n")
+    counts = same.unionByName(near)
+    grade = F.when(F.col("label") == F.col("q_label"), 2).when(F.col("label") == F.col("q_label") + 1, 1).otherwise(0)
+    told = hits.filter("rank <= 10").join(vs, "id").join(q, "query_id").select("query_id", "id", "rank", grade.alias("grade"))
+    judged = counts.filter("n > 0").select("query_id").distinct()
+    return E.scored(told, E.totals_by_grade(counts, 10).join(judged, "query_id", "left_semi"))
 
 
 _JUDGED = "SELECT q.vec_id AS query_id, v.vec_id AS id, CASE WHEN q.label = v.label THEN 2 ELSE 1 END AS grade FROM embeddings q JOIN embeddings v ON q.vec_id % 100 = 0 AND ((q.label = v.label AND q.vec_id <> v.vec_id) OR v.label = q.label + 1)"
@@ -306,19 +312,16 @@ m AS (SELECT query_id, coalesce(hit / n, 0.0) AS precision, coalesce(hit / relev
 
 @R.add(f"WITH j AS ({_JUDGED}), {_MEASURES} SELECT query_id, round(precision, 6) AS precision, round(recall, 6) AS recall, round(ndcg, 6) AS ndcg, round(mrr, 6) AS mrr, round(ap, 6) AS ap FROM m")
 def eval_measures(spark, sf):
-    m = E.measures(_hits(spark, sf, 10).select("query_id", "id", "rank"), _judged(spark, sf), 10)
+    m = _graded(spark, sf, _hits(spark, sf, 10))
     return m.select("query_id", *[F.round(n, 6).alias(n) for n in E.NAMES])
 
 
 @R.add(f"WITH j AS ({_JUDGED}), {_MEASURES} SELECT " + ", ".join(f"round(avg({n}), 4) AS {n}" for n in E.NAMES) + ", count(*) AS queries FROM m")
 def eval_averages(spark, sf):
-    return E.averages(E.measures(_hits(spark, sf, 10).select("query_id", "id", "rank"), _judged(spark, sf), 10))
+    return E.averages(_graded(spark, sf, _hits(spark, sf, 10)))
 
 
 @R.add()
 def eval_ab(spark, sf):
     """Plain hits against hits after the label boost."""
-    judged = _judged(spark, sf)
-    a = E.measures(_hits(spark, sf, 10).select("query_id", "id", "rank"), judged, 10)
-    b = E.measures(vec_overfetch(spark, sf).select("query_id", "id", "rank"), judged, 10)
-    return E.compare(a, b)
+    return E.compare(_graded(spark, sf, _hits(spark, sf, 10)), _graded(spark, sf, vec_overfetch(spark, sf)))

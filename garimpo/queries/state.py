@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from garimpo.operators import blocks as B
 from garimpo.operators import chunking as C
 from garimpo.operators import store as S
 from garimpo.queries.registry import Registry, sql_match
@@ -21,12 +22,12 @@ def cp_upsert_lww(spark, sf):
     return S.last_write(e, ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value")
 
 
-@R.add("WITH o AS (SELECT doc_id, title AS hint FROM documents WHERE doc_id % 3 <> 0), n AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '' ELSE collection END AS hint FROM documents WHERE doc_id % 5 <> 0) SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN coalesce(trim(n.hint), '') <> '' THEN n.hint ELSE o.hint END AS hint FROM o FULL JOIN n ON o.doc_id = n.doc_id")
+@R.add("WITH o AS (SELECT doc_id, title AS hint FROM documents), n AS (SELECT doc_id, collection AS hint FROM documents WHERE text IS NOT NULL) SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN coalesce(trim(n.hint), '') <> '' THEN n.hint ELSE o.hint END AS hint FROM o FULL JOIN n ON o.doc_id = n.doc_id")
 def cp_upsert_hint(spark, sf):
-    """Two versions of a hint table, made from all documents; an empty new hint keeps the old one."""
+    """Titles, then collections of the documents with a text, as hints; an empty new hint keeps the old one."""
     d = table(spark, sf, "documents")
-    old = d.filter("doc_id % 3 <> 0").select("doc_id", F.col("title").alias("hint"))
-    new = d.filter("doc_id % 5 <> 0").select("doc_id", F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.col("collection")).alias("hint"))
+    old = d.select("doc_id", F.col("title").alias("hint"))
+    new = d.filter("text is not null").select("doc_id", F.col("collection").alias("hint"))
     return S.upsert_keeping(old, new, "doc_id", "hint")
 
 
@@ -92,9 +93,8 @@ def join_asof_section(spark, sf):
     b = table(spark, sf, "pdf_blocks").dropDuplicates(["block_key"])
     marks = b.filter("block_type = 'section_header'").select(F.col("pdf_doc_id").alias("doc"), F.col("block_seq").alias("seq"), F.lit(0).alias("o"), F.lit(None).cast("long").alias("block_key"), F.trim("text").alias("label"))
     rows = b.select(F.col("pdf_doc_id").alias("doc"), F.col("block_seq").alias("seq"), F.lit(1).alias("o"), "block_key", F.lit(None).cast("string").alias("label"))
-    w = Window.partitionBy("doc").orderBy("seq", "o").rowsBetween(Window.unboundedPreceding, 0)
-    mark = F.last(F.when(F.col("o") == 0, F.struct("label")), ignorenulls=True).over(w)
-    return marks.unionByName(rows).withColumn("m", mark).filter("o = 1 and m is not null").select("block_key", F.col("m.label").alias("label"))
+    both = B.carried(marks.unionByName(rows), "doc", "seq", ["seq", "o"], F.when(F.col("o") == 0, F.struct("label")), "m")
+    return both.filter("o = 1 and m is not null").select("block_key", F.col("m.label").alias("label"))
 
 
 @R.add()
@@ -131,7 +131,7 @@ def chunk_general(spark, sf):
 
 @R.add()
 def chunk_tabular(spark, sf):
-    return C.tabular(table(spark, sf, "table_extractions"))
+    return C.tabular(table(spark, sf, "table_extractions"), whole=True)
 
 
 @R.add()

@@ -129,11 +129,10 @@ _WORDS = ("procedimento", "codigo", "descri", "cobertura", "autoriz", "prazo", "
 
 
 def document_class(text):
-    """doc_class, confidence: legal, tabular, mixed or narrative, by counts of patterns."""
+    """doc_class, confidence: legal, tabular, mixed or narrative, by counts of patterns over the whole text."""
     n = X.norm_match(text)
-    first = F.left(n, F.lit(5000))
     legal = F.size(F.regexp_extract_all(n, F.lit(_LEGAL), F.lit(0)))
-    marks = F.size(F.regexp_extract_all(first, F.lit(_ART), F.lit(0))) + F.size(F.regexp_extract_all(first, F.lit(_MARK), F.lit(0)))
+    marks = F.size(F.regexp_extract_all(n, F.lit(_ART), F.lit(0))) + F.size(F.regexp_extract_all(n, F.lit(_MARK), F.lit(0)))
     codes = F.size(F.regexp_extract_all(n, F.lit(_CODE), F.lit(0)))
     words = sum((F.contains(n, F.lit(w)).cast("int") for w in _WORDS), F.lit(0))
     is_legal, tabular, mixed = (marks >= 3) & (legal >= 3), codes >= 8, (words >= 2) & (codes >= 3)
@@ -146,7 +145,7 @@ _N = sql_match("text")
 
 @R.add(f"""SELECT doc_id, CASE WHEN m >= 3 AND l >= 3 THEN 'legal' WHEN c >= 8 THEN 'tabular' WHEN w >= 2 AND c >= 3 THEN 'mixed' ELSE 'narrative' END AS doc_class,
 CASE WHEN m >= 3 AND l >= 3 THEN 0.9 WHEN c >= 8 THEN 0.82 WHEN w >= 2 AND c >= 3 THEN 0.78 ELSE 0.8 END AS confidence FROM (
-SELECT doc_id, {_COUNT.format('n', _LEGAL)} AS l, {_COUNT.format('left(n, 5000)', _ART)} + {_COUNT.format('left(n, 5000)', _MARK)} AS m, {_COUNT.format('n', _CODE)} AS c, {" + ".join(f"contains(n, '{w}')::INT" for w in _WORDS)} AS w
+SELECT doc_id, {_COUNT.format('n', _LEGAL)} AS l, {_COUNT.format('n', _ART)} + {_COUNT.format('n', _MARK)} AS m, {_COUNT.format('n', _CODE)} AS c, {" + ".join(f"contains(n, '{w}')::INT" for w in _WORDS)} AS w
 FROM (SELECT doc_id, {_N} AS n FROM documents WHERE text IS NOT NULL))""")
 def doc_classify(spark, sf):
     kind, confidence = document_class(F.col("text"))
@@ -213,7 +212,7 @@ def blk_quality(spark, sf):
     return B.quality(_rows(spark, sf)).select("doc", "total", F.round("score", 4).alias("score"), F.array_join("flags", "|").alias("flags"), F.round("coherence", 4).alias("coherence"))
 
 
-@R.add(_QUALITY + " SELECT doc, CASE WHEN score < 0.4 THEN 'failed_parse' WHEN score < 0.55 OR len(flags) > 0 THEN 'needs_review' ELSE 'success' END AS gate FROM q")
+@R.add(_QUALITY + " SELECT doc, CASE WHEN round(score, 3) < 0.4 THEN 'failed_parse' WHEN round(score, 3) < 0.55 OR len(flags) > 0 THEN 'needs_review' ELSE 'success' END AS gate FROM q")
 def blk_gate(spark, sf):
     return B.quality(_rows(spark, sf)).select("doc", B.gate(F.col("score"), F.col("flags")).alias("gate"))
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import shutil
+import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,12 +28,17 @@ def local_session(cores: str = "8", shuffle: int = 8, app: str = "garimpo") -> S
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder in spark.checkpoint.dir; a temporary one is set only where none is named (tests)."""
+    """The shared folder in spark.checkpoint.dir. Only in local mode may it be unset: then a folder of this machine serves, and goes at the end."""
     sc = spark.sparkContext
     if (now := sc.getCheckpointDir()) is not None:
         return now
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="garimpo-"))
+    if not folder:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = str(Path("/tmp") / f"garimpo-{uuid.uuid4().hex}")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
