@@ -195,6 +195,11 @@ def slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(norm_match(c), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
+def slug_of(c: Column) -> Column:
+    """A short name: letters, digits and single '_' in lower case, accents kept out."""
+    return F.lower(F.regexp_replace(F.regexp_replace(c, "[^a-zA-Z0-9_]+", "_"), "^_+|_+$", ""))
+
+
 def map_first(fields: Column, *names: str) -> Column:
     """First non-empty of several keys of a map."""
     return F.coalesce(*[F.when(F.trim(F.try_element_at(fields, F.lit(k))) != "", F.trim(F.try_element_at(fields, F.lit(k)))) for k in names])

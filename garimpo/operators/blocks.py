@@ -51,18 +51,18 @@ def relabelled(rows: DataFrame) -> DataFrame:
 STRETCH = 512  # places of a document that one window task holds
 
 
-def carried(rows: DataFrame, doc: str, place: str, order: list[str], mark: Column, name: str) -> DataFrame:
-    """rows with the last mark at or before each in its document (null before the first).
+def carried(rows: DataFrame, doc: str, place: str | Column, order: list, mark: Column, name: str, strict: bool = False) -> DataFrame:
+    """rows with the last mark at or before each in its document (null before the first); strict: before each.
 
     A document may hold a third of all rows, so it is cut into stretches of places: the last mark of each
     stretch is aggregated, carried on over the small table of stretches, and filled in within the stretch.
     """
-    cut = rows.withColumn("_s", F.floor(F.coalesce(F.col(place), F.lit(0)) / STRETCH)).withColumn("_m", mark)
+    cut = rows.withColumn("_s", F.floor(F.coalesce(F.col(place) if isinstance(place, str) else place, F.lit(0)) / STRETCH)).withColumn("_m", mark)
     last = cut.filter("_m is not null").groupBy(doc, "_s").agg(F.max_by("_m", F.struct(*order)).alias("_c"))
     every = cut.select(doc, "_s").distinct().join(last, [doc, "_s"], "left")
     before = Window.partitionBy(doc).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     carry = every.withColumn("_b", F.last("_c", ignorenulls=True).over(before)).filter("_b is not null").select(doc, "_s", "_b")
-    within = Window.partitionBy(doc, "_s").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy(doc, "_s").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
     return cut.withColumn("_l", F.last("_m", ignorenulls=True).over(within)).join(carry, [doc, "_s"], "left").withColumn(name, F.coalesce("_l", "_b")).drop("_s", "_m", "_l", "_b")
 
 

@@ -150,13 +150,10 @@ def compare_delta(groups: DataFrame, key: str) -> DataFrame:
 
 
 def ask(df: DataFrame, question: str, hint: str = "", values: dict[str, list[str]] | None = None) -> DataFrame:
-    """Question to DataFrame. values: see planner; None reads those of the dimensions (25 each)."""
-    profiles = semantics.profile(df)
+    """Question to DataFrame. values: see planner; None looks the question's words up in all values of dimension and text columns."""
+    profiles = semantics.measured(df)
     if values is None:
-        dims = [p.name for p in profiles if p.role == "dimension"]
-        values = {}
-        for r in semantics.value_catalog(df, dims).collect() if dims else []:
-            values.setdefault(r["column_name"], []).append(r["raw_value"])
+        values = semantics.named_values(df, question, [p.name for p in profiles if p.role in ("dimension", "text")])
     made = planner.plan(question, profiles, values, hint)
     if made is None:
         raise ValueError("pergunta sem plano")

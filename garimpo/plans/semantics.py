@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from garimpo.functions.ptbr import plain
+from garimpo.functions.text import ACCENTED, BARE
 from garimpo.plans.model import Profile
 
 # Name rules in order: pattern, type, unit, description.
@@ -93,6 +95,77 @@ def shares(df: DataFrame) -> DataFrame:
     return sums
 
 
+def numeric_shares(df: DataFrame) -> dict[str, float]:
+    """Share of numbers among the filled values of each text column: one aggregation over all rows, no values shuffled."""
+    names = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    if not names:
+        return {}
+    filled = lambda c: F.coalesce(F.trim(F.col(f"`{c}`")), F.lit("")) != ""
+    sums = [x for i, c in enumerate(names) for x in (F.sum(filled(c).cast("long")).alias(f"n{i}"), F.sum((filled(c) & numeric_like(F.col(f"`{c}`"))).cast("long")).alias(f"k{i}"))]
+    row = df.agg(*sums).first()
+    return {c: (row[f"k{i}"] or 0) / row[f"n{i}"] for i, c in enumerate(names) if row[f"n{i}"]}
+
+
+def measured(df: DataFrame, examples: int = 0) -> list[Profile]:
+    """Profiles of the columns with the numeric shares of their values; examples: so many of the first fifty rows' values each."""
+    found = profile(df, numeric_shares(df))
+    if not examples:
+        return found
+    rows = df.select(*[F.col(f"`{p.name}`").cast("string") for p in found]).limit(50).collect()
+    shown = {p.name: tuple(dict.fromkeys(v for r in rows if (v := r[i]) and v.strip()))[:examples] for i, p in enumerate(found)}
+    return [replace(p, examples=shown[p.name]) for p in found]
+
+
+def of_records(records: DataFrame, fields: str = "fields") -> list[Profile]:
+    """Profiles of records that hold their columns in a map: its distinct names become columns."""
+    names = sorted(r[0] for r in records.select(F.explode(F.map_keys(fields))).distinct().collect())  # a table's columns
+    return measured(records.select(*[F.try_element_at(fields, F.lit(n)).alias(n) for n in names]))
+
+
+def named_values(df: DataFrame, question: str, columns: list[str], longest: int = 8) -> dict[str, list[str]]:
+    """The values of the columns that the question names, looked up among all rows.
+
+    The question's runs of up to ``longest`` words are the keys; at most their spellings come back.
+    """
+    words = plain(question).replace("?", " ").split()
+    keys = {" ".join(words[i : i + n]).strip(" .,;:!?") for n in range(1, longest + 1) for i in range(len(words) - n + 1)}
+    if not columns or not keys:
+        return {}
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"`{c}`").cast("string").alias("v")) for c in columns])).alias("x")).select("x.*")
+    # Plain form as the keys have it: accents off, lower case.
+    form = F.lower(F.translate(F.trim("v"), ACCENTED, BARE))
+    fits = F.length(F.trim("v")) <= max(map(len, keys))
+    out: dict[str, list[str]] = {}
+    for c, v in sorted(((r["c"], r["v"]) for r in long.filter(fits & form.isin(sorted(keys))).distinct().collect()), key=lambda x: (x[0], -len(x[1]), x[1])):
+        out.setdefault(c, []).append(v)
+    return out
+
+
+#: What a filter's name may mean.
+MEANINGS = {
+    "codigo": "identifier", "code": "identifier", "id": "identifier", "cobertura": "coverage_rule", "autorizacao": "authorization_rule", "prazo": "deadline_rule", "descricao": "catalog_title", "titulo": "catalog_title",
+}
+
+
+def filter_column(key: str, profiles: list[Profile]) -> str | None:
+    """The column that a filter's name means: by name, by meaning, else by an alias (either within the other)."""
+    name = name_of(key)
+    by_name = {name_of(p.name): p.name for p in profiles}
+    if name in by_name:
+        return by_name[name]
+    meant = next((p.name for p in profiles if p.semantic_type == MEANINGS.get(name)), None)
+    return meant or next((p.name for p in profiles if any(a and (name in a or a in name) for a in p.aliases)), None)
+
+
+def lookup(df: DataFrame, filters: dict[str, str], limit: int = 20, profiles: list[Profile] | None = None) -> DataFrame:
+    """Rows whose columns contain all the given texts; names that mean no column are left out of account."""
+    known = profiles or measured(df)
+    for key, v in filters.items():
+        if column := filter_column(key, known):
+            df = df.filter(F.contains(F.lower(F.col(f"`{column}`").cast("string")), F.lit(str(v).strip().lower())))
+    return df.limit(max(1, limit))
+
+
 def value_catalog(df: DataFrame, columns: list[str], most: int = 25) -> DataFrame:
     """column_name, raw_value, frequency: the most frequent values of each column."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("raw_value")) for c in columns])).alias("x")).select("x.*").filter(F.trim("raw_value") != "")

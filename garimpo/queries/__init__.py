@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from garimpo.queries import data, search, state, structure, tabular, texts
+from garimpo.queries import data, pipeline, search, state, structure, tabular, texts
 
-MODULES = [tabular.R, texts.R, search.R, state.R, structure.R]
+MODULES = [tabular.R, texts.R, search.R, state.R, structure.R, pipeline.R]
 
 
 def core_queries() -> dict:

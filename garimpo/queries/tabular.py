@@ -17,7 +17,7 @@ R = Registry()
 
 
 def run(df, plan: Plan):
-    profiles = semantics.profile(df)
+    profiles = semantics.measured(df)
     checked = planner.validate(plan, profiles)
     return compiler.compile(checked, df, profiles)
 
@@ -153,7 +153,7 @@ def prof_columns(spark, sf):
 
 @R.add()
 def prof_semantics(spark, sf):
-    rows = [(t, p.name, p.data_type, p.role, p.semantic_type, p.unit) for t in ("orders", "lineitem", "customer", "part", "deadlines", "documents") for p in semantics.profile(table(spark, sf, t))]
+    rows = [(t, p.name, p.data_type, p.role, p.semantic_type, p.unit) for t in ("orders", "lineitem", "customer", "part", "deadlines", "documents") for p in semantics.measured(table(spark, sf, t))]
     return spark.createDataFrame(rows, "table_name string, column_name string, data_type string, role string, semantic_type string, unit string")
 
 
