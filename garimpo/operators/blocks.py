@@ -51,25 +51,28 @@ def relabelled(rows: DataFrame) -> DataFrame:
 STRETCH = 512  # places of a document that one window task holds
 
 
-def carried(rows: DataFrame, doc: str, place: str | Column, order: list, mark: Column, name: str, strict: bool = False) -> DataFrame:
-    """rows with the last mark at or before each in its document (null before the first); strict: before each.
+def carried(rows: DataFrame, doc: str, place: str | Column, order: list, marks: dict[str, Column], strict: bool = False) -> DataFrame:
+    """rows with, for each name, the last of its marks at or before each row in its document (null before the first); strict: before each.
 
-    A document may hold a third of all rows, so it is cut into stretches of places: the last mark of each
-    stretch is aggregated, carried on over the small table of stretches, and filled in within the stretch.
+    A document may hold a third of all rows, so it is cut into stretches of places: the last marks of each
+    stretch are aggregated, carried on over the small table of stretches, and filled in within the stretch. All
+    marks are carried at once.
     """
-    cut = rows.withColumn("_s", F.floor(F.coalesce(F.col(place) if isinstance(place, str) else place, F.lit(0)) / STRETCH)).withColumn("_m", mark)
-    last = cut.filter("_m is not null").groupBy(doc, "_s").agg(F.max_by("_m", F.struct(*order)).alias("_c"))
-    every = cut.select(doc, "_s").distinct().join(last, [doc, "_s"], "left")
+    names = list(marks)
+    cut = rows.select("*", F.floor(F.coalesce(F.col(place) if isinstance(place, str) else place, F.lit(0)) / STRETCH).alias("_s"), *[m.alias(f"_m_{n}") for n, m in marks.items()])
+    last = cut.groupBy(doc, "_s").agg(*[F.max_by(f"_m_{n}", F.when(F.col(f"_m_{n}").isNotNull(), F.struct(*order))).alias(f"_c_{n}") for n in names])
     before = Window.partitionBy(doc).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    carry = every.withColumn("_b", F.last("_c", ignorenulls=True).over(before)).filter("_b is not null").select(doc, "_s", "_b")
+    carry = last.select(doc, "_s", *[F.last(f"_c_{n}", ignorenulls=True).over(before).alias(f"_b_{n}") for n in names])
     within = Window.partitionBy(doc, "_s").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
-    return cut.withColumn("_l", F.last("_m", ignorenulls=True).over(within)).join(carry, [doc, "_s"], "left").withColumn(name, F.coalesce("_l", "_b")).drop("_s", "_m", "_l", "_b")
+    filled = cut.select(*rows.columns, "_s", *[F.last(f"_m_{n}", ignorenulls=True).over(within).alias(f"_l_{n}") for n in names])
+    both = filled.join(carry, [doc, "_s"], "left")
+    return both.select(*[F.col(c) for c in rows.columns if c not in names], *[F.coalesce(f"_l_{n}", f"_b_{n}").alias(n) for n in names])
 
 
 def with_hints(rows: DataFrame) -> DataFrame:
     """Each body block gets the text of the last title or section header before it in its document."""
     head = F.when(F.col("kind").isin("title", "section_header"), F.trim("text"))
-    filled = carried(rows, "doc", "seq", ["seq", "block_key"], head, "hint")
+    filled = carried(rows, "doc", "seq", ["seq", "block_key"], {"hint": head})
     return filled.withColumn("hint", F.when(F.col("kind") == "body", F.col("hint")))
 
 

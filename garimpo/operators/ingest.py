@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from garimpo.functions import text as X
 from garimpo.operators import blocks as B
+from garimpo.session import settle
 
 LEVELS = {"titulo": 1, "capitulo": 2, "secao": 3}
 ARTICLE = r"(?i)\bart\.?\s*(\d{1,4})"
@@ -124,10 +125,9 @@ def articles(rows: DataFrame) -> DataFrame:
     m = _marked(rows.filter(F.trim("text") != ""))
     order = ["seq", "block_key"]
     begins = F.when(F.col("art") != "", F.struct(F.col("seq").alias("start"), F.col("block_key").alias("key"), F.col("art").alias("article"))).when(F.col("h").isNotNull(), F.struct(F.col("seq").alias("start"), F.col("block_key").alias("key"), F.lit(None).cast("string").alias("article")))
-    m = B.carried(m, "doc", "seq", order, begins, "a")
-    for kind in ("titulo", "capitulo"):
-        m = B.carried(m, "doc", "seq", order, F.when(F.col("h.kind") == kind, F.col("first_line")), kind)
-    m = B.carried(m, "doc", "seq", order, F.when(F.col("h.kind") == "secao", F.col("first_line")).when(F.col("h").isNotNull(), F.lit("")), "secao")
+    line = F.col("first_line")
+    marks = {"a": begins, "titulo": F.when(F.col("h.kind") == "titulo", line), "capitulo": F.when(F.col("h.kind") == "capitulo", line), "secao": F.when(F.col("h.kind") == "secao", line).when(F.col("h").isNotNull(), F.lit(""))}
+    m = B.carried(m, "doc", "seq", order, marks)
     inside = m.filter("a.article is not null")
     ordered = F.array_sort(F.collect_list(F.struct("seq", "block_key", F.trim("text").alias("t"), "page", "titulo", "capitulo", "secao")))
     made = inside.groupBy("doc", F.col("a.start").alias("start"), F.col("a.key").alias("key"), F.col("a.article").alias("article")).agg(ordered.alias("x"))
@@ -139,11 +139,10 @@ def articles(rows: DataFrame) -> DataFrame:
 def structures(rows: DataFrame) -> DataFrame:
     """doc, start, end, kind, numeral, label, page_start, articles of each heading; end is the place of the next one of its level or above (null at the end)."""
     m = _marked(rows)
-    for k in (1, 2, 3):
-        m = B.carried(m, "doc", "seq", ["seq", "block_key"], F.when(F.col("h.level") <= k, F.struct(F.col("h.level").alias("l"), F.col("seq").alias("s"), F.col("block_key").alias("b"))), f"in{k}")
-    heads = m.filter("h is not null")
-    for k in (1, 2, 3):
-        heads = _next(heads, k)
+    here = lambda k: F.when(F.col("h.level") <= k, F.struct(F.col("h.level").alias("l"), F.col("seq").alias("s"), F.col("block_key").alias("b")))
+    m = B.carried(m, "doc", "seq", ["seq", "block_key"], {f"in{k}": here(k) for k in (1, 2, 3)})
+    heads = _marked(rows).filter("h is not null")
+    heads = B.carried(heads, "doc", -F.col("seq"), [-F.col("seq"), -F.col("block_key")], {f"next{k}": F.when(F.col("h.level") <= k, F.col("seq")) for k in (1, 2, 3)}, strict=True)
     end = F.coalesce(*[F.when(F.col("h.level") == k, F.col(f"next{k}")) for k in (1, 2, 3)])
     heads = heads.select("doc", F.col("seq").alias("start"), "block_key", end.alias("end"), "h.kind", "h.numeral", F.col("first_line").alias("label"), F.col("page").alias("page_start"))
     each = m.select("doc", "seq", F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?i)Art\.?\s*(\d+)"), F.lit(1))).alias("ns"), F.array(*[F.when(F.col(f"in{k}.l") == k, F.col(f"in{k}.b")) for k in (1, 2, 3)]).alias("i"))
@@ -153,11 +152,6 @@ def structures(rows: DataFrame) -> DataFrame:
     return heads.join(arts, ["doc", "block_key"], "left").withColumn("articles", F.coalesce("articles", F.array().cast("array<string>")))
 
 
-def _next(heads: DataFrame, level: int) -> DataFrame:
-    mark = F.when(F.col("h.level") <= level, F.col("seq"))
-    return B.carried(heads, "doc", -F.col("seq"), [-F.col("seq"), -F.col("block_key")], mark, f"next{level}", strict=True)
-
-
 def structure_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("doc", "kind").agg(F.count("*").alias("n"))
 
@@ -219,7 +213,7 @@ def block_id(page: Column, text: Column) -> Column:
 def process(blocks: DataFrame, least: float = 0.4) -> dict[str, DataFrame]:
     """The whole chain of scanned blocks: classified and relabelled blocks with hints, quality with its gate, texts, structures and articles of documents that passed."""
     rows = B.rows_of(blocks)
-    rows = B.with_hints(B.relabelled(rows.withColumn("kind", B.kind(F.col("text"), F.col("y")))))
-    quality = B.quality(rows).withColumn("gate", B.gate(F.col("score"), F.col("flags"), least))
+    rows = settle(B.with_hints(B.relabelled(rows.withColumn("kind", B.kind(F.col("text"), F.col("y"))))))
+    quality = settle(B.quality(rows).withColumn("gate", B.gate(F.col("score"), F.col("flags"), least)))
     passed = rows.join(quality.filter("gate <> 'failed_parse'").select("doc"), "doc", "left_semi")
     return {"blocks": rows, "quality": quality, "texts": page_texts(passed), "markdown": markdown(passed), "json": block_json(passed), "paragraphs": B.paragraphs(passed), "structures": structures(passed), "articles": articles(passed)}

@@ -93,7 +93,7 @@ def join_asof_section(spark, sf):
     b = table(spark, sf, "pdf_blocks").dropDuplicates(["block_key"])
     marks = b.filter("block_type = 'section_header'").select(F.col("pdf_doc_id").alias("doc"), F.col("block_seq").alias("seq"), F.lit(0).alias("o"), F.lit(None).cast("long").alias("block_key"), F.trim("text").alias("label"))
     rows = b.select(F.col("pdf_doc_id").alias("doc"), F.col("block_seq").alias("seq"), F.lit(1).alias("o"), "block_key", F.lit(None).cast("string").alias("label"))
-    both = B.carried(marks.unionByName(rows), "doc", "seq", ["seq", "o"], F.when(F.col("o") == 0, F.struct("label")), "m")
+    both = B.carried(marks.unionByName(rows), "doc", "seq", ["seq", "o"], {"m": F.when(F.col("o") == 0, F.struct("label"))})
     return both.filter("o = 1 and m is not null").select("block_key", F.col("m.label").alias("label"))
 
 
