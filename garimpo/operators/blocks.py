@@ -51,15 +51,15 @@ def relabelled(rows: DataFrame) -> DataFrame:
 STRETCH = 512  # places of a document that one window task holds
 
 
-def carried(rows: DataFrame, doc: str, place: str | Column, order: list, marks: dict[str, Column], strict: bool = False) -> DataFrame:
+def carried(rows: DataFrame, doc: str, place: str | Column, order: list, marks: dict[str, Column], strict: bool = False, size: float | None = None) -> DataFrame:
     """rows with, for each name, the last of its marks at or before each row in its document (null before the first); strict: before each.
 
     A document may hold a third of all rows, so it is cut into stretches of places: the last marks of each
     stretch are aggregated, carried on over the small table of stretches, and filled in within the stretch. All
-    marks are carried at once.
+    marks are carried at once. size: places of a stretch.
     """
     names = list(marks)
-    cut = rows.select("*", F.floor(F.coalesce(F.col(place) if isinstance(place, str) else place, F.lit(0)) / STRETCH).alias("_s"), *[m.alias(f"_m_{n}") for n, m in marks.items()])
+    cut = rows.select("*", F.floor(F.coalesce(F.col(place) if isinstance(place, str) else place, F.lit(0)) / (size or STRETCH)).alias("_s"), *[m.alias(f"_m_{n}") for n, m in marks.items()])
     last = cut.groupBy(doc, "_s").agg(*[F.max_by(f"_m_{n}", F.when(F.col(f"_m_{n}").isNotNull(), F.struct(*order))).alias(f"_c_{n}") for n in names])
     before = Window.partitionBy(doc).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     carry = last.select(doc, "_s", *[F.last(f"_c_{n}", ignorenulls=True).over(before).alias(f"_b_{n}") for n in names])

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from garimpo.operators.blocks import carried
+
 
 def admit(times: list[float], kept: list[float], most: int, window: float) -> tuple[list[bool], list[float]]:
     """Sliding window limit: which times are let in. Refused ones are not counted."""
@@ -22,16 +24,22 @@ def admit(times: list[float], kept: list[float], most: int, window: float) -> tu
     return out, kept
 
 
-def rate_limit(events: DataFrame, key: str, at: str, order: str, most: int = 30, window: float = 60.0) -> DataFrame:
+def _with_before(rows: DataFrame, key: str, order: str, stretch: float) -> DataFrame:
+    """rows with before_us, the time of the key's row before, found by stretches of time, so that no key is gathered whole."""
+    return carried(rows, key, "us", ["us", order], {"before_us": F.col("us")}, strict=True, size=stretch * 1e6)
+
+
+def rate_limit(events: DataFrame, key: str, at: str, order: str, most: int = 30, window: float = 60.0, stretch: float = 3600.0) -> DataFrame:
     """The events with ``allowed``. A key's events are cut into bursts that lie a window apart; these do not
-    influence each other, so each is judged on its own and no key is gathered whole."""
+    influence each other, so each is judged on its own and no key is gathered whole. stretch: seconds of a key
+    that one task looks at when bursts are told apart."""
     us = F.unix_micros(F.col(at).cast("timestamp"))
-    rows = events.select(key, order, us.alias("us"))
-    w = Window.partitionBy(key).orderBy("us", order)
-    fresh = F.coalesce((F.col("us") - F.lag("us").over(w) >= int(window * 1e6)).cast("int"), F.lit(1))
-    bursts = rows.withColumn("fresh", fresh).withColumn("burst", F.sum("fresh").over(w)).drop("fresh")
+    rows = _with_before(events.select(key, order, us.alias("us")), key, order, stretch)
+    fresh = F.coalesce(F.col("us") - F.col("before_us") >= int(window * 1e6), F.lit(True))
+    bursts = carried(rows, key, "us", ["us", order], {"burst": F.when(fresh, F.struct("us", order))}, size=stretch * 1e6)
     # A burst of no more events than the limit is let in whole, without Python.
-    sized = bursts.withColumn("n", F.count("*").over(Window.partitionBy(key, "burst")))
+    size = bursts.groupBy(key, "burst").agg(F.count("*").alias("n"))
+    sized = bursts.join(size, [key, "burst"])
     calm = sized.filter(F.col("n") <= most).select(key, order, F.lit(True).alias("allowed"))
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -40,7 +48,7 @@ def rate_limit(events: DataFrame, key: str, at: str, order: str, most: int = 30,
         return pd.DataFrame({key: pdf[key], order: pdf[order], "allowed": ok})
 
     kinds = dict(events.dtypes)
-    busy = sized.filter(F.col("n") > most).groupBy(key, "burst").applyInPandas(judge, f"{key} {kinds[key]}, {order} {kinds[order]}, allowed boolean")
+    busy = sized.filter(F.col("n") > most).withColumn("burst", F.to_json("burst")).groupBy(key, "burst").applyInPandas(judge, f"{key} {kinds[key]}, {order} {kinds[order]}, allowed boolean")
     return calm.unionByName(busy)
 
 
@@ -80,15 +88,15 @@ def breaker(calls: list[tuple[float, bool]], failures: int = 3, reset: float = 6
     return out
 
 
-def breaker_states(calls: DataFrame, key: str, at: str, order: str, ok: str, failures: int = 3, reset: float = 60.0, per_part: int = 1000) -> DataFrame:
+def breaker_states(calls: DataFrame, key: str, at: str, order: str, ok: str, failures: int = 3, reset: float = 60.0, stretch: float = 86_400.0) -> DataFrame:
     """The calls with ``state``. A success after a pause longer than the reset closes the breaker whatever came
-    before; what follows it starts afresh. A key's history is cut there, into runs of about ``per_part`` cuts."""
+    before; what follows it starts afresh. A key's history is cut there, and the cuts of a stretch of time (in
+    seconds) are judged together, so no key is gathered whole."""
     us = F.unix_micros(F.col(at).cast("timestamp"))
-    rows = calls.select(key, order, us.alias("us"), F.col(ok).cast("boolean").alias("ok"))
-    w = Window.partitionBy(key).orderBy("us", order)
-    sure = F.coalesce((F.col("us") - F.lag("us").over(w) >= int(reset * 1e6)) & F.col("ok"), F.lit(False)).cast("int")
-    before = F.sum("sure").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    parts = rows.withColumn("sure", sure).withColumn("part", F.floor(F.coalesce(before, F.lit(0)) / per_part)).drop("sure")
+    rows = _with_before(calls.select(key, order, us.alias("us"), F.col(ok).cast("boolean").alias("ok")), key, order, stretch)
+    sure = F.coalesce((F.col("us") - F.col("before_us") >= int(reset * 1e6)) & F.col("ok"), F.lit(False))
+    cut = carried(rows, key, "us", ["us", order], {"cut": F.when(sure, F.col("us"))}, strict=True, size=stretch * 1e6)
+    parts = cut.withColumn("part", F.coalesce(F.floor(F.col("cut") / int(stretch * 1e6)), F.lit(-(2**62)))).drop("before_us", "cut")
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["us", order])

@@ -93,8 +93,8 @@ def test_rate_limit_and_breaker(spark):
         t[k] += rng.choice([1, 2, 5, 61])
         rows.append((i, k, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=t[k]), rng.random() < 0.4))
     df = spark.createDataFrame(rows, "id long, k string, at timestamp_ntz, ok boolean").repartition(5)
-    got = {r.id: r.allowed for r in W.rate_limit(df, "k", "at", "id", 4, 60).collect()}
-    states = {r.id: r.state for r in W.breaker_states(df, "k", "at", "id", "ok", per_part=2).collect()}
+    got = {r.id: r.allowed for r in W.rate_limit(df, "k", "at", "id", 4, 60, stretch=100).collect()}
+    states = {r.id: r.state for r in W.breaker_states(df, "k", "at", "id", "ok", stretch=300).collect()}
     for k in "abc":
         own = [r for r in rows if r[1] == k]
         ok, _ = W.admit([r[2].timestamp() for r in own], [], 4, 60)
