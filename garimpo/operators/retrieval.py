@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from garimpo.functions import text as X
 from garimpo.operators import scope as S
+from garimpo.session import settle
 
 BROADCAST_QUERIES = 20_000
 
@@ -93,7 +94,7 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, dim: int, exclud
 
         part = vs.mapInPandas(scan, schema)
     else:
-        q_blocks, v_blocks = -(-n // BROADCAST_QUERIES), max(1, -(-vs.count() // VECTOR_BLOCK))
+        q_blocks, v_blocks = -(-n // max(1, BROADCAST_QUERIES)), max(1, -(-vs.count() // VECTOR_BLOCK))
         every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
         left = qs.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int")).withColumn("part", every(v_blocks))
         right = vs.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(v_blocks)).cast("int")).withColumn("b", every(q_blocks))
@@ -175,7 +176,7 @@ def token_overlap(queries: DataFrame, corpus: DataFrame, k: int = 5, block: int
     spark = queries.sparkSession
     qs = queries.select(F.col("query_id").cast("long").alias("query_id"), F.array_distinct("tokens").alias("t")).filter(F.size("t") > 0).dropDuplicates(["query_id"])
     texts = corpus.select(F.col("id").cast("long").alias("id"), F.array_distinct("tokens").alias("t")).filter(F.size("t") > 0)
-    n_blocks = max(1, -(-qs.count() // BROADCAST_QUERIES))
+    n_blocks = max(1, -(-qs.count() // max(1, BROADCAST_QUERIES)))
     parts = []
     for i in range(n_blocks):
         own = qs if n_blocks == 1 else qs.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == i)
@@ -299,10 +300,11 @@ def retrieve(questions: DataFrame, vectors: DataFrame, chunks: DataFrame, settin
     if score is not None:
         hits = rerank(hits.join(asked, "query_id"), score).drop("question", "second", "base_score")
     hits = continuity(S.strength(hits, asked), c.continuity).drop("strength", "base_score")
-    hits = over_threshold(top(hits, c.k).drop("rank"), c.least).drop("rank")
+    # Settled where several steps read the same rows (k a query, or somewhat more): else each would search again.
+    hits = settle(over_threshold(top(hits, c.k).drop("rank"), c.least).drop("rank"))
     further = best_of(S.supplement(hits, asked, chunks).unionByName(S.expand_chapter(hits, asked, chunks)))
     hits = hits.unionByName(own(further), allowMissingColumns=True)
-    hits = S.prioritise(S.boost_hints(hits, asked, c.hint_bonus), asked)
+    hits = settle(S.prioritise(S.boost_hints(hits, asked, c.hint_bonus), asked))
     parents = expand_parents(hits, chunks, c.parents, int(c.budget * c.parent_share), c.chars_per_token)
     extra = own(parents.select("query_id", "id", "score", F.col("rank").alias("nth"))).withColumn("rank", F.lit(1_000_000) + F.col("nth")).drop("nth")
     hits = hits.unionByName(extra, allowMissingColumns=True).withColumn("tokens", F.floor(F.length(F.coalesce("text", F.lit(""))) / F.lit(c.chars_per_token)).cast("long"))

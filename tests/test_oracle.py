@@ -15,4 +15,5 @@ def test_query_equals_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(set(core_queries()) - set(core_sql())))
 def test_query_runs(spark, name):
-    assert core_queries()[name](spark, SF).count() > 0
+    """Rows on the smallest tables that hold a case of it."""
+    assert any(core_queries()[name](spark, sf).count() > 0 for sf in (SF, SF.replace("sf0.001", "sf0.01"), SF.replace("sf0.001", "sf0.1")))
