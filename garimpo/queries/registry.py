@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from garimpo.functions.text import ACCENTED, BARE
+from garimpo.queries.values import ACCENTED, BARE
 
 
 class Registry:

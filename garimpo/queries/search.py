@@ -11,11 +11,12 @@ from garimpo.operators import evaluation as E
 from garimpo.operators import retrieval as V
 from garimpo.operators import routing as Q
 from garimpo.operators import scope as S
+from garimpo.queries import values as W
 from garimpo.queries.registry import Registry, sql_match, sql_norm
 from garimpo.session import table
 
 R = Registry()
-_STOP = "['" + "','".join(X.STOP_WORDS) + "']"
+_STOP = "['" + "','".join(W.STOP_WORDS) + "']"
 
 
 def _vectors(spark, sf):

@@ -10,6 +10,7 @@ from garimpo.functions import text as X
 from garimpo.plans import compiler, planner, semantics
 from garimpo.plans.model import Filter, Plan
 from garimpo.operators import routing as Q
+from garimpo.queries import values as W
 from garimpo.queries.registry import Registry, sql_match, sql_norm
 from garimpo.session import table
 
@@ -177,7 +178,7 @@ SELECT *, instr(n, 'imediato') > 0 AS imm, instr(n, 'sem cobertura') > 0 AS sc,
   regexp_extract(n, 'ate\\s+(\\d{1,3})\\s*(?:\\([^)]+\\))?\\s*(dias uteis|dias|horas)', 1) AS d1, regexp_extract(n, 'ate\\s+(\\d{1,3})\\s*(?:\\([^)]+\\))?\\s*(dias uteis|dias|horas)', 2) AS u1,
   map {'um': 1, 'uma': 1, 'dois': 2, 'duas': 2, 'tres': 3, 'quatro': 4, 'cinco': 5, 'seis': 6, 'sete': 7, 'oito': 8, 'nove': 9, 'dez': 10}[regexp_extract(n, 'ate\\s+\\(?([a-z]+)\\)?\\s*(dias uteis|dias|horas)', 1)] AS d2,
   regexp_extract(n, 'ate\\s+\\(?([a-z]+)\\)?\\s*(dias uteis|dias|horas)', 2) AS u2
-FROM (SELECT *, trim(regexp_replace(lower(""" + "translate(coalesce(raw_text, ''), '" + X.ACCENTED + "', '" + X.BARE + """')), '\\s+', ' ', 'g')) AS n FROM deadlines)"""
+FROM (SELECT *, trim(regexp_replace(lower(""" + "translate(coalesce(raw_text, ''), '" + W.ACCENTED + "', '" + W.BARE + """')), '\\s+', ' ', 'g')) AS n FROM deadlines)"""
 _DEADLINE_COLS = """CASE WHEN imm THEN 0 WHEN d1 <> '' THEN d1::INT ELSE d2 END AS d, CASE WHEN imm THEN 'imediato' WHEN d1 <> '' THEN replace(u1, ' ', '_') WHEN d2 IS NOT NULL THEN replace(u2, ' ', '_') ELSE 'texto' END AS u"""
 _BAND = "CASE WHEN sc THEN 'Sem Cobertura' WHEN na THEN 'Nao autoriza' WHEN imm THEN 'Imediato' WHEN d IS NULL THEN 'Desconhecido' WHEN d <= 3 THEN 'Ate 3 dias' WHEN d <= 5 THEN 'Ate 5 dias' WHEN d <= 10 THEN 'Ate 10 dias' ELSE 'Acima de 10 dias' END"
 

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from garimpo.functions import numbers as N
 from garimpo.functions import text as X
 from garimpo.operators import blocks as B
+from garimpo.queries import values as V
 from garimpo.queries.registry import Registry, sql_bare, sql_compact, sql_match, sql_norm
 from garimpo.session import table
 
 R = Registry()
-_STOP = "['" + "','".join(X.STOP_WORDS) + "']"
+_STOP = "['" + "','".join(V.STOP_WORDS) + "']"
 
 
 def docs(spark, sf):
@@ -36,17 +37,17 @@ _scalar("txt_compact", X.compact, sql_compact("@"))
 _scalar("txt_excerpt", X.excerpt, f"CASE WHEN length({sql_compact('@')}) > 240 THEN trim(left({sql_compact('@')}, 240)) || '...' ELSE {sql_compact('@')} END")
 _scalar("txt_token_estimate", X.token_estimate, "floor(length(@) / 3.5)::INT")
 _PII_SQL = "@"
-for _p, _l in X.PII:
+for _p, _l in V.PII:
     _PII_SQL = f"regexp_replace({_PII_SQL}, '{_p}', '{_l}', 'g')"
 _scalar("txt_pii_mask", X.mask_pii, _PII_SQL, source="pdf_blocks", key="block_key")
-_scalar("txt_inject_detect", X.has_injection, "regexp_matches(" + sql_match("@") + ", '" + "|".join(f"(?:{p})" for p in X.INJECTION) + "')", source="messages", key="message_id", text="content")
+_scalar("txt_inject_detect", X.has_injection, "regexp_matches(" + sql_match("@") + ", '" + "|".join(f"(?:{p})" for p in V.INJECTION) + "')", source="messages", key="message_id", text="content")
 _SAN = "@"
-for _p in X.CONTEXT_MARKS:
-    _SAN = f"regexp_replace({_SAN}, '{_p}', '{X.REMOVED}', 'g')"
+for _p in V.CONTEXT_MARKS:
+    _SAN = f"regexp_replace({_SAN}, '{_p}', '{V.REMOVED}', 'g')"
 _scalar("txt_context_sanitize", X.sanitize_context, _SAN, source="legal_chunks", key="chunk_key")
 _MARKS = "@"
-for _p in X.PAGE_MARKS:
-    _MARKS = f"regexp_replace({_MARKS}, '(?i){_p}', '', 'g')"
+for _p in V.PAGE_MARKS:
+    _MARKS = f"regexp_replace({_MARKS}, '(?im){_p}', '', 'g')"
 _scalar("txt_strip_headers", X.strip_page_marks, f"trim(regexp_replace({_MARKS}, '\\n{{3,}}', chr(10) || chr(10), 'g'))", source="pipeline_results", key="result_id", text="clean_text")
 _scalar("txt_orphan_lines", X.drop_number_lines, "array_to_string(list_filter(string_split(@, chr(10)), lambda x: NOT regexp_full_match(x, '\\s*\\d{1,4}\\s*')), chr(10))", source="pipeline_results", key="result_id", text="clean_text")
 _scalar("txt_whitespace", X.tidy, "trim(regexp_replace(regexp_replace(@, '\\n{3,}', chr(10) || chr(10), 'g'), '[ \\t\\r\\f]+', ' ', 'g'))", source="pipeline_results", key="result_id", text="clean_text")
@@ -75,7 +76,7 @@ def txt_keywords(spark, sf):
     return table(spark, sf, "documents").filter("title is not null").select("doc_id", F.explode(X.keywords(F.col("title"))).alias("keyword"))
 
 
-_SENT = "list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '(?i)(^|[^\\p{L}\\p{N}_])(Art|Inc|Sr|Sra|Dr|Dra|Prof|Ltda|Jr|n|p|fl|fls|vol|ed|etc|ex)\\.', '\\1\\2' || chr(1), 'g'), '([.!?;])[ \\t\\r\\n]+', '\\1' || chr(2), 'g'), chr(2)), lambda s: trim(replace(s, chr(1), '.'))), lambda s: s <> '')"
+_SENT = "list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '(?i)(^|[^\\p{L}\\p{N}_])(Art|Inc|Sr|Sra|Dr|Dra|Prof|Ltda|S\\.A|Jr|n|p|fl|fls|vol|ed|etc|ex)\\.', '\\1\\2' || chr(1), 'g'), '([.!?;])[ \\t\\r\\n]+', '\\1' || chr(2), 'g'), chr(2)), lambda s: trim(replace(s, chr(1), '.'))), lambda s: s <> '')"
 
 
 @R.add(f"SELECT doc_id, generate_subscripts(s, 1) - 1 AS pos, unnest(s) AS sentence FROM (SELECT doc_id, {_SENT} AS s FROM documents WHERE text IS NOT NULL)")
@@ -88,7 +89,7 @@ def txt_refs(spark, sf):
     return table(spark, sf, "legal_chunks").filter("text is not null").select("chunk_key", F.explode(X.article_refs(F.col("text"))).alias("ref")).distinct()
 
 
-@R.add("SELECT DISTINCT node_key, unnest(list_concat(" + ", ".join(f"list_transform(regexp_extract_all({sql_match('text')}, '\\b{k}\\s+([ivxlcdm]+|\\d{{1,4}})\\b', 1), lambda v: '{k} ' || v)" for k in X.STRUCTURES) + ")) AS ref FROM legal_nodes WHERE text IS NOT NULL")
+@R.add("SELECT DISTINCT node_key, unnest(list_concat(" + ", ".join(f"list_transform(regexp_extract_all({sql_match('text')}, '\\b{k}\\s+([ivxlcdm]+|\\d{{1,4}})\\b', 1), lambda v: '{k} ' || v)" for k in V.STRUCTURES) + ")) AS ref FROM legal_nodes WHERE text IS NOT NULL")
 def txt_structural_refs(spark, sf):
     return table(spark, sf, "legal_nodes").filter("text is not null").select("node_key", F.explode(X.structural_refs(F.col("text"))).alias("ref")).distinct()
 
