@@ -75,7 +75,7 @@ def documents(spark: SparkSession, path: str, parsers: dict[str, Parser] | None
                         text = decode(bytes(data))
                     elif s == ".csv":
                         text, rows = csv_markdown(decode(bytes(data)))
-                    elif s in (".xlsx", ".xls"):
+                    elif s == ".xlsx":
                         text = xlsx_markdown(bytes(data))
                     else:
                         error = f"formato sem leitor: {s}"
